@@ -57,11 +57,15 @@ def sized(docs: DataFrame) -> DataFrame:
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit("mix"), F.col("doc_id").cast("long")).alias("place"),
+        F.xxhash64(F.col("text").cast("string")).alias("mark"),
     )
 
 
 def curriculum(docs: DataFrame, weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, most: float = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, passes (times taken), taken, positions (array of training times), sorted by the first position."""
+    """doc_id, mark (hash of the text), source, size, source_size, target, passes (times taken), taken, positions (array of training times).
+
+    Rows are sorted by the first position.
+    """
     spark = docs.sparkSession
     rows = stored(sized(docs), "sizes")
     # one row a source: a table of sources, which are few by nature and are ordered here
@@ -73,7 +77,7 @@ def curriculum(docs: DataFrame, weights: Sequence[float] = WEIGHTS, slopes: Sequ
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("here")).withColumn("base", F.coalesce(F.sum("here").over(before), F.lit(0)))
     head = totals.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "base").join(F.broadcast(table.withColumnRenamed("source", "t")), F.col("s").eqNullSafe(F.col("t"))).drop("t")
-    inner = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, -1)
     line = rows.withColumn("at", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     line = line.join(head, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
     middle = F.col("base") + F.col("at") + F.col("size") / 2
@@ -88,20 +92,18 @@ def curriculum(docs: DataFrame, weights: Sequence[float] = WEIGHTS, slopes: Sequ
         return F.when(a == 0, share).otherwise((F.sqrt(b * b + 4 * a * share) - b) / (2 * F.when(a == 0, 1.0).otherwise(a)))
 
     where = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0), (F.col("passes") - 1).cast("int")), position)).otherwise(F.array().cast("array<double>"))
-    out = line.select("doc_id", "source", "size", "source_size", "target", "passes", (F.col("size") * F.col("passes")).alias("taken"), where.alias("positions"))
+    out = line.select("doc_id", "mark", "source", "size", "source_size", "target", "passes", (F.col("size") * F.col("passes")).alias("taken"), where.alias("positions"))
     return out.withColumn("first", F.get("positions", F.lit(0))).repartitionByRange(F.col("first").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("first").asc_nulls_last(), "doc_id").drop("first")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as the mix takes them, repeats included, range-sorted by training position; columns as before."""
     names = docs.columns
-    plan = curriculum(docs, **options).where("passes > 0").groupBy("doc_id").agg(F.flatten(F.collect_list("positions")).alias("p"), F.count("*").alias("n"))
-    # rows that share a doc_id share the id's positions evenly: their line was one run of equal places
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    joined = packed.join(plan, F.col("id").eqNullSafe(F.col("doc_id")))
-    twins = packed.groupBy("id").agg(F.count("*").alias("twins")).where("twins > 1")
-    joined = joined.join(twins.withColumnRenamed("id", "twin"), F.col("id").eqNullSafe(F.col("twin")), "left")
-    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("row")))
-    alone = joined.where("twins is null").select("row", F.explode("p").alias("at"))
-    shared = joined.where("twins is not null").withColumn("i", nth).select("row", F.explode(F.expr("filter(p, (x, j) -> j % twins = i - 1)")).alias("at"))
-    return alone.unionByName(shared).repartitionByRange("at").sortWithinPartitions("at").select("row.*")
+    plan = curriculum(docs, **options).groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "mark").agg(F.flatten(F.collect_list("positions")).alias("p"), F.count("*").alias("twins"))
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id")
+    packed = docs.select(id_, F.expr("xxhash64(cast(text as string))").alias("mark"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    # rows alike in id and text share the positions that they have together
+    nth = F.row_number().over(Window.partitionBy("id", "mark").orderBy(F.xxhash64("row")))
+    joined = packed.join(plan.where("size(p) > 0"), ["id", "mark"]).withColumn("nth", nth)
+    taken = joined.select("row", F.explode(F.expr("filter(p, (x, j) -> j % twins = nth - 1)")).alias("at"))
+    return taken.repartitionByRange("at").sortWithinPartitions("at").select("row.*")

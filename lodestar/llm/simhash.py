@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_slices, stored, word_spans
@@ -41,7 +41,7 @@ LEAF = 24
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long)."""
+    """doc_id, mark (a hash of the text, which tells rows of one id apart), fp (the fingerprint's bits as a signed long)."""
 
     def make():
         lower = np.arange(256, dtype=np.uint8)
@@ -79,11 +79,11 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
                 for bit in range(64):
                     ones = np.add.reduceat(((hashes >> np.uint64(bit)) & np.uint64(1)).astype(np.int32), edges)
                     out[filled] |= (2 * ones > counts[filled]).astype(np.uint64) << np.uint64(bit)
-            return pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "fp": pa.array(out.view(np.int64))})
+            return pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "mark": part.column("mark"), "fp": pa.array(out.view(np.int64))})
 
         return step
 
-    return map_slices(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), make, "doc_id long, fp long")
+    return map_slices(docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) mark", "cast(text as string) text"), make, "doc_id long, mark long, fp long")
 
 
 def hamming(a: np.ndarray, b) -> np.ndarray:
@@ -304,23 +304,27 @@ def _flattened(to: DataFrame) -> DataFrame:
         to = two.select("v", F.col("far").alias("to"))
 
 
+def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, mark, fp, root (a fingerprint that names the component)."""
+    prints = stored(fingerprints(docs), "prints")
+    classes = prints.select("fp").distinct()
+    roots = components(links(classes, radius))
+    return prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links)."""
-    prints = stored(fingerprints(docs), "prints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
-    roots = components(links(classes.select("fp"), radius))
-    named = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # components of one fingerprint need no shuffle by root
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = stored(named.join(ids, "root").select("fp", "component_id"), "components")
-    return prints.join(found, "fp").select("doc_id", "fp", "component_id")
+    rows = stored(grouped(docs, radius), "grouped")
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "root").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that are the first of their group: smallest doc_id; of rows that share it, one."""
+    """The rows of docs that are the first of their group, by doc_id and then by a hash of the text; of equal rows one."""
     names = docs.columns
-    keep = near_duplicates(docs, radius).where("doc_id <=> component_id").select("doc_id").distinct()
-    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    # repeated ids are rare: only they are told apart
-    first = packed.join(keep, F.col("id").eqNullSafe(F.col("doc_id"))).groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return first.select("row.*")
+    first = grouped(docs, radius).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("k"))
+    keep = first.select(F.coalesce("k.doc_id", F.lit(-(2**63))).alias("id"), F.col("k.mark").alias("mark")).distinct()
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id")
+    packed = docs.select(id_, F.expr("xxhash64(cast(text as string))").alias("mark"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    nth = F.row_number().over(Window.partitionBy("id", "mark").orderBy(F.xxhash64("row")))
+    return packed.join(keep, ["id", "mark"]).withColumn("nth", nth).where("nth = 1").select("row.*")
