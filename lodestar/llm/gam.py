@@ -212,12 +212,13 @@ def classified(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 def accepted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of docs that the classifier predicts 1 for, with all their columns."""
     model = train(docs, labels, fit_rows)
-    at = docs.columns.index("text")
+    names = docs.columns
+    at = names.index("text")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch.rename_columns([str(i) for i in range(batch.num_columns)]), str(at)):
                 s = model.score(features(*offsets(part.column(at).cast(pa.string()))))
-                yield part.filter(pa.array(s >= 0.5)).rename_columns(docs.columns)
+                yield part.filter(pa.array(s >= 0.5)).rename_columns(names)
 
     return docs.mapInArrow(run, docs.schema)
