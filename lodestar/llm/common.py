@@ -82,8 +82,9 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
-#: A run of blanks and newlines with the word after it, or such a run at the end.
-PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: A run of blanks and newlines with the word after it, or such a run at the end. Letters before a full stop or comma
+#: are a piece of their own, as pre-tokenizers part letters from punctuation.
+PIECE = re.compile(r"[ \n]*(?:[^\W\d_]+(?=[.,])|[^ \n]+)|[ \n]+")
 #: White space in any library's eyes, other than blank and newline.
 ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎​﻿]")
 

@@ -30,9 +30,9 @@ from .common import pieces, shared_dir, slices, stored
 SHARD_IDS = 1 << 20
 END = 0
 MAGIC = b"RPG1"
-ROUNDS, PER_ROUND, LEAST = 8, 2000, 8
-#: Pieces of text that a worker remembers the ids of.
-KNOWN = 700_000
+ROUNDS, PER_ROUND, LEAST = 5, 3000, 12
+#: Pieces of text in each of the two generations that a worker remembers the ids of.
+KNOWN = 400_000
 #: Shards whose starting positions are broadcast (some 24 bytes each); with more they are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -49,6 +49,7 @@ class Tokens:
         self.width = np.array([len(self.library.id_to_token(i) or "") for i in range(size)])
         self.first_rule = size
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
         # a piece that begins with white space and ends without is encoded alike wherever it stands
@@ -72,8 +73,10 @@ class Tokens:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [pieces(t) for t in texts]
         if len(self.known) > KNOWN:
-            self.known.clear()
-        new = list(dict.fromkeys(p for c in cut for p in c if p not in self.known))
+            self.old, self.known = self.known, {}
+        met = set().union(*cut).difference(self.known)
+        self.known.update((p, self.old[p]) for p in met if p in self.old)
+        new = sorted(met.difference(self.known))
         if new:
             self._learn(new)
         get = self.known.__getitem__
@@ -135,15 +138,33 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first_rule: int) -> tuple[np.
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
-    out = symbols.astype(np.int64)
-    while (deep := out >= first_rule).any():
-        size = 1 + deep
-        at = np.cumsum(size) - size
-        wider = np.empty(int(size.sum()), np.int64)
-        pairs = rules[np.where(deep, out - first_rule, 0)] if len(rules) else np.zeros((len(out), 2), np.int64)
-        wider[at] = np.where(deep, pairs[:, 0], out)
-        wider[at[deep] + 1] = pairs[deep, 1]
-        out = wider
+    """The ids that symbols stand for: every rule's expansion is laid out once, then gathered."""
+    sizes = expansion_lengths(rules, first_rule)
+    flat = np.empty(int(sizes.sum()), np.int32)
+    begin = np.cumsum(sizes) - sizes
+    bounds = list(zip(begin.tolist(), (begin + sizes).tolist()))
+    for (lo, hi), (left, right) in zip(bounds, rules.tolist()):
+        at = lo
+        for x in (left, right):
+            if x < first_rule:
+                flat[at] = x
+                at += 1
+            else:
+                a, b = bounds[x - first_rule]
+                flat[at : at + b - a] = flat[a:b]
+                at += b - a
+    symbols = symbols.astype(np.int32)
+    rule = symbols - np.int32(first_rule)
+    deep = rule >= 0
+    if not deep.any():
+        return symbols
+    size = np.where(deep, sizes[np.maximum(rule, 0)], 1)
+    out = np.repeat(symbols, size)
+    whole = np.repeat(deep, size)
+    # within an expansion: where it begins in flat, plus the distance from its first id
+    ends = np.cumsum(size)
+    source = np.repeat(np.where(deep, begin[np.maximum(rule, 0)], 0) - (ends - size), size) + np.arange(len(out))
+    out[whole] = flat[source[whole]]
     return out
 
 
