@@ -95,7 +95,7 @@ def settled(key: np.ndarray, full: np.ndarray, doc: np.ndarray, tie: np.ndarray,
 
 def parts(batch: pa.RecordBatch) -> Iterator[tuple]:
     """(body, at, doc, tie, base) of slices of a batch; base: where a part of a long text begins in it."""
-    for part in slices(batch):
+    for part in slices(batch, limit=1 << 21):
         body, at = offsets(part.column("text"))
         doc, tie = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tie"))
         if len(body) <= PART or len(part) > 1:
