@@ -82,16 +82,21 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
-#: A run of blanks and newlines with the word after it, or such a run at the end. Letters before a full stop or comma
-#: are a piece of their own, as pre-tokenizers part letters from punctuation.
-PIECE = re.compile(r"[ \n]*(?:[^\W\d_]+(?=[.,])|[^ \n]+)|[ \n]+")
+#: A run of blanks and newlines with the word after it, or such a run at the end.
+PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: The same, with full stops and commas apart from the word before them.
+FINE = re.compile(r"[ \n]*[^ \n.,]+|[ \n]*[.,][^ \n]*|[ \n]+")
 #: White space in any library's eyes, other than blank and newline.
-ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎​﻿]")
+ODD_SPACE = re.compile(r"[^\S \n]")
+#: A full stop or comma after a character that is neither letter nor digit: these may be one pre-token.
+ODD_POINT = re.compile(r"[^\w\s.,][.,]|_[.,]")
 
 
 def pieces(text: str) -> list[str]:
     """Parts that a pre-tokenizer which keeps white space before words never joins; whole where other white space is in it."""
-    return [text] if ODD_SPACE.search(text) else PIECE.findall(text)
+    if ODD_SPACE.search(text):
+        return [text]
+    return (PIECE if ODD_POINT.search(text) else FINE).findall(text)
 
 
 class Memo(dict):

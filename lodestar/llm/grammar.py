@@ -32,7 +32,7 @@ END = 0
 MAGIC = b"RPG1"
 ROUNDS, PER_ROUND, LEAST = 5, 3000, 12
 #: Pieces of text in each of the two generations that a worker remembers the ids of.
-KNOWN = 400_000
+KNOWN = 500_000
 #: Shards whose starting positions are broadcast (some 24 bytes each); with more they are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
