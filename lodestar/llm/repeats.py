@@ -84,13 +84,16 @@ def sampled(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def settled(key: np.ndarray, full: np.ndarray, doc: np.ndarray, tie: np.ndarray, pos: np.ndarray, extra: dict | None = None) -> pa.RecordBatch:
-    """Rows for the sort: of equal tuples within the batch all but the first are repeats, and scattered."""
+    """Rows for the sort: of equal tuples within the batch all but the first are repeats, and scattered; rows met twice count once."""
     order = np.lexsort((pos, tie, doc, full, key))
-    same = np.zeros(len(key), bool)
-    same[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (full[order[1:]] == full[order[:-1]])
+    now, before = order[1:], order[:-1]
+    same, twice = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    same[now] = (key[now] == key[before]) & (full[now] == full[before])
+    twice[now] = same[now] & (doc[now] == doc[before]) & (tie[now] == tie[before]) & (pos[now] == pos[before])
     key = np.where(same, mixed(full + pos.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + doc.astype(np.uint64)), key)
     columns = {"key": key.view(np.int64), "full": full.view(np.int64), "doc": doc, "tie": tie, "pos": pos, "dup": same} | (extra or {})
-    return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
+    out = pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
+    return out.filter(pa.array(~twice)) if twice.any() else out
 
 
 def parts(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -116,12 +119,20 @@ def tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From tuples in order: repeats, and firsts of grams with several names (dup false). One row is held back at most."""
-    last = None  # (key, full) of the row before
+    last = None  # key, full, doc, tie and pos of the row before
     alone = None  # the one first of the current key, while it is the only one
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, full, dup = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "full", "dup"))
+        names = ("key", "full", "doc", "tie", "pos")
+        every = [batch.column(c).to_numpy() for c in names]
+        twice = np.append(last is not None and all(x[0] == y for x, y in zip(every, last)), np.all([x[1:] == x[:-1] for x in every], axis=0))
+        if twice.any():
+            batch = batch.filter(pa.array(~twice))
+            if not batch.num_rows:
+                continue
+            every = [x[~twice] for x in every]
+        key, full, dup = every[0], every[1], batch.column("dup").to_numpy(zero_copy_only=False)
         new_key, new_full = np.ones(len(key), bool), np.ones(len(key), bool)
         new_key[1:] = key[1:] != key[:-1]
         new_full[1:] = new_key[1:] | (full[1:] != full[:-1])
@@ -141,7 +152,7 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tail = np.flatnonzero(first & (group == group[-1]))
             alone = batch.slice(int(tail[0]), 1) if len(tail) == 1 else None
         out = ~first | (several[group] > 1)
-        last = (key[-1], full[-1])
+        last = [x[-1] for x in every]
         marked = batch.set_column(batch.schema.get_field_index("dup"), "dup", pa.array(~first))
         if out.any():
             yield marked.filter(pa.array(out))
