@@ -102,7 +102,7 @@ def about(t):
 def components(t):
     rows = t.customer.selectExpr("c_custkey", "c_nationkey % 7 g")
     hub = rows.groupBy("g").agg(F.min("c_custkey").alias("dst"))
-    # a chain and a star of each group: neighbours in order, and one hub
+    # a star of each group
     edges = rows.join(hub, "g").selectExpr("c_custkey src", "dst")
     return G.components(edges, rows.selectExpr("c_custkey id"))
 
