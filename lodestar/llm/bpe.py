@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 
 from .common import Memo, map_slices, pieces
 
+#: Entries of each generation of a memo: a worker keeps four such tables while it lives, whatever it runs next.
+KNOWN = 180_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -104,8 +106,8 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.memo = Memo(self._piece)
-        self.token_memo = Memo(self._token)
+        self.memo = Memo(self._piece, KNOWN)
+        self.token_memo = Memo(self._token, KNOWN)
 
     def _piece(self, text: str) -> bytes:
         return b"".join(map(self.token_memo.__getitem__, self.pattern.findall(text)))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: ASCII white space, as the word definition `[^\x20\x09-\x0D]+` has it.
 SPACES = "\t\n\x0b\x0c\r "
 WORD = r"[^\x20\x09-\x0D]+"

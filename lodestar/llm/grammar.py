@@ -227,7 +227,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_ids: int = SH
 
         end = np.array([END], np.uint16)
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, limit=4 << 20):
                 for doc_id, ids in zip(rows.column("doc_id").to_pylist(), t.encode([x or "" for x in rows.column("text").to_pylist()])):
                     held.append((doc_id or 0, doc_id is not None, np.concatenate((ids, end))))
                     size += len(ids) + 1
