@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import core, knowledge, records, scalars
+from .queries import core, eligibility, knowledge, records, scalars
 from .queries.registry import ORACLES, QUERIES
 
-__all__ = ["core", "knowledge", "records", "scalars"]
+__all__ = ["core", "eligibility", "knowledge", "records", "scalars"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
