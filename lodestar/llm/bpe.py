@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame
 
 from .common import Memo, map_slices, pieces
 
-#: Entries of each generation of a memo: a worker keeps four such tables while it lives, whatever it runs next.
-KNOWN = 180_000
+#: Entries of each generation of the memo of pieces, and of that of pre-tokens in pieces too long to keep: a worker
+#: keeps two generations of each while it lives, whatever it runs next.
+KNOWN = 360_000
+KNOWN_TOKENS = 40_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -107,10 +109,11 @@ class Codec:
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.memo = Memo(self._piece, KNOWN)
-        self.token_memo = Memo(self._token, KNOWN)
+        self.token_memo = Memo(self._token, KNOWN_TOKENS)
 
     def _piece(self, text: str) -> bytes:
-        return b"".join(map(self.token_memo.__getitem__, self.pattern.findall(text)))
+        found = self.pattern.findall(text)
+        return b"".join(map(self.token_memo.__getitem__ if len(text) > 64 else self._token, found))
 
     def _token(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in encode_token(text.encode(), self.ranks))
