@@ -321,8 +321,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs that are the first of their group, by doc_id and then by a hash of the text; of equal rows one."""
+    return first_of_each(docs, grouped(docs, radius))
+
+
+def first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The row of docs that is the first of each root in rows (doc_id, mark, root)."""
     names = docs.columns
-    first = grouped(docs, radius).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("k"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("k"))
     keep = first.select(F.coalesce("k.doc_id", F.lit(-(2**63))).alias("id"), F.col("k.mark").alias("mark")).distinct()
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id")
     packed = docs.select(id_, F.expr("xxhash64(cast(text as string))").alias("mark"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
