@@ -1,8 +1,7 @@
 """Operator 2: quality by the likelihood ratio of hashed n-grams between a trusted target and the raw corpus.
 
 Words and word pairs of every text are hashed into `BUCKETS` buckets. The raw multinomial counts all documents;
-the target multinomial counts trusted ones: rows labelled quality 1, at most `target_rows` of them, the first by
-hash of their id (a documented bound; fewer labels, fewer rows). A document's score is the sum over its n-grams of
+the target multinomial counts trusted ones: all rows whose doc_id has a label of quality 1. A document's score is the sum over its n-grams of
 log(target / raw), over their number plus NEUTRAL; it is kept if the score reaches `threshold` and no base rule fails. Nothing is
 drawn at random. The bucket table has a fixed size, so collecting and sending it is bounded for any corpus.
 
@@ -22,7 +21,6 @@ from .common import map_slices, offsets, slices
 from .textstats import IS_SYMBOL, Texts, per_text
 
 BUCKETS = 1 << 16
-TARGET_ROWS = 20_000
 #: Scores under this are rejected. At 0 a text is as likely under the target as under the raw corpus.
 THRESHOLD = -0.06
 #: Neutral n-grams added to a text's own when its score is normalised by length: a few odd words don't condemn a short text.
@@ -40,13 +38,14 @@ def buckets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((texts.row, texts.row[at])), np.concatenate((texts.words, pairs)) >> shift
 
 
-def trusted(labels: DataFrame, most: int = TARGET_ROWS) -> np.ndarray:
-    """Ids of at most `most` rows labelled quality 1, the first by hash."""
+def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with trusted: whether the doc_id has a label of quality 1. Repeated rows stay, each once."""
     ids = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return np.array(sorted(r[0] for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()), np.int64)
+    # merged at any size: a broadcast of the ids would only do for small tables
+    return docs.join(ids.withColumn("trusted", F.lit(True)).hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
 
 
-def bucket_counts(docs: DataFrame, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bucket_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Counts by bucket over all documents and over the trusted ones."""
 
     def count(batches):
@@ -55,7 +54,7 @@ def bucket_counts(docs: DataFrame, target: np.ndarray) -> tuple[np.ndarray, np.n
             for part in slices(batch):
                 row, at = buckets(Texts(*offsets(part.column("text"))))
                 raw += np.bincount(at.astype(np.int64), minlength=BUCKETS)
-                inside = np.isin(part.column("doc_id").fill_null(-(2**62)).to_numpy(zero_copy_only=False), target)
+                inside = part.column("trusted").to_numpy(zero_copy_only=False)
                 own += np.bincount(at[inside[row]].astype(np.int64), minlength=BUCKETS)
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "raw": pa.array(raw[used]), "own": pa.array(own[used])})
@@ -77,9 +76,9 @@ def log_ratio(raw: np.ndarray, own: np.ndarray) -> np.ndarray:
     return np.log(p / prior)
 
 
-def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, target_rows: int = TARGET_ROWS) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    ratio = log_ratio(*bucket_counts(rows, trusted(labels, target_rows)))
+    ratio = log_ratio(*bucket_counts(marked(rows, labels)))
 
     def make():
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
