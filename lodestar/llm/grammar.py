@@ -2,7 +2,7 @@
 
 Documents are range-partitioned by doc_id and encoded in that order; a shard holds about `SHARD_IDS` ids. In a shard
 the frequent pairs of neighbouring symbols are replaced by nonterminals, round after round, each round the most
-frequent pairs that don't overlap. The file stores the rules, each rule's expansion length and the remaining
+frequent pairs that don't overlap, until none is left that pays or the format's 16-bit symbols are used up. The file stores the rules, each rule's expansion length and the remaining
 symbols, all as 16-bit numbers where they fit; sums of expansion lengths lead from an id's position to its symbol,
 so any range of ids decodes without the rest. Pairs never span two documents.
 
@@ -30,7 +30,8 @@ from .common import pieces, shared_dir, slices, stored
 SHARD_IDS = 1 << 20
 END = 0
 MAGIC = b"RPG1"
-ROUNDS, PER_ROUND, LEAST = 5, 3000, 12
+#: A rule takes 8 bytes and saves 2 at each place, so it pays from 5 on; a round takes pairs down to 1/FALL of its most frequent.
+PER_ROUND, LEAST, FALL = 3000, 5, 4
 #: Pieces of text in each of the two generations that a worker remembers the ids of.
 KNOWN = 500_000
 #: Shards whose starting positions are broadcast (some 24 bytes each); with more they are joined by a shuffle.
@@ -103,7 +104,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first_rule: int) -> tuple[np.
     last[np.cumsum(lengths) - 1] = True
     rules: list[np.ndarray] = []
     count = 0
-    for _ in range(ROUNDS):
+    while True:
         room = min(PER_ROUND, (1 << 16) - first_rule - count)
         if len(symbols) < 2 or room <= 0:
             break
@@ -115,6 +116,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first_rule: int) -> tuple[np.
         often = np.flatnonzero(n >= LEAST)
         if not len(often):
             break
+        often = often[n[often] >= n[often].max() / FALL]
         best = often[np.argsort(-n[often], kind="stable")[:room]]
         chosen = np.sort(ordered[edge[best]])
         starts = np.zeros(1 << 16, bool)
