@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from ..functions.text import token_spans
 
 LONGEST = 12
+#: A name of more instances stays unresolved.
+MOST_CANDIDATES = 20
+
+
+def keyed(forms: DataFrame) -> DataFrame:
+    return forms.distinct().withColumn("key", F.array_join(F.transform(token_spans("surface"), lambda s: F.lower(s["surface"])), " ")).where("key <> ''")
 
 
 def dictionary(forms: DataFrame, most: int = 12) -> DataFrame:
     """key, class, surface, instances (at most `most` ids, sorted), n_instances from rows (class, surface, instance).
 
-    The key is the surface's tokens in lower case, joined by blanks. Instances are counted in full; ids beyond `most` are of no use
-    to resolution, which needs few, so a surface of very many instances stays one short row.
+    The key is the surface's tokens in lower case, joined by blanks. Instances are counted in full; candidates come from
+    the whole table of instances, so a surface of very many stays one short row here.
     """
-    keyed = forms.distinct().withColumn("key", F.array_join(F.transform(token_spans("surface"), lambda s: F.lower(s["surface"])), " ")).where("key <> ''")
-    ranked = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("class", "key").orderBy("instance", "surface")))
+    ranked = keyed(forms).withColumn("nth", F.row_number().over(Window.partitionBy("class", "key").orderBy("instance", "surface")))
     return ranked.groupBy("class", "key").agg(F.min("surface").alias("surface"), F.array_sort(F.collect_list(F.when(F.col("nth") <= most, F.col("instance")))).alias("instances"), F.count_distinct("instance").alias("n_instances"))
 
 
@@ -43,11 +48,20 @@ def scanned(texts: DataFrame, words: DataFrame, longest: int = LONGEST) -> DataF
     return found.select("id", F.explode(kept).alias("x")).select("id", "x.start_at", "x.end_at", "x.key").join(words, "key")
 
 
-def candidates(mentions: DataFrame) -> DataFrame:
-    """id, start_at, class, instance, score: an exact key's score is shared by its classes and instances."""
+def instances(forms: DataFrame) -> DataFrame:
+    """class, key, instance: every instance of every surface."""
+    return keyed(forms).select("class", "key", "instance").distinct()
+
+
+def candidates(mentions: DataFrame, instances: DataFrame, most: int | None = MOST_CANDIDATES) -> DataFrame:
+    """id, start_at, class, instance, score: an exact key's score is shared by its classes and instances.
+
+    All instances of a mention are candidates; a name of more than `most` has none. Keys have no such limit (most None).
+    """
     w = Window.partitionBy("id", "start_at", "end_at")
     scored = mentions.withColumn("classes", F.count("*").over(w))
-    return scored.select("id", "start_at", "class", F.explode("instances").alias("instance"), (1 / (F.col("classes") * F.col("n_instances"))).alias("score"))
+    few = scored if most is None else scored.where(F.col("n_instances") <= most)
+    return few.drop("instances").join(instances, ["class", "key"]).select("id", "start_at", "class", "instance", (1 / (F.col("classes") * F.col("n_instances"))).alias("score"))
 
 
 def links(scored: DataFrame, threshold: float = 0.9, gap: float = 0.05, possible: int = 3) -> DataFrame:

@@ -20,9 +20,12 @@ def notes(t):
     return rows.selectExpr("o_orderkey id", "concat('Order ', o_orderkey, ' by ', c_name, ' holds ', p_name, '. Seller: ', s_name, '.') text", "c_custkey", "p_partkey", "s_suppkey")
 
 
+def forms(t):
+    return t.customer.selectExpr("'customer' class", "c_name surface", "c_custkey instance").unionByName(t.part.selectExpr("'part' class", "p_name surface", "p_partkey instance")).unionByName(t.supplier.selectExpr("'supplier' class", "s_name surface", "s_suppkey instance"))
+
+
 def words(t):
-    forms = t.customer.selectExpr("'customer' class", "c_name surface", "c_custkey instance").unionByName(t.part.selectExpr("'part' class", "p_name surface", "p_partkey instance")).unionByName(t.supplier.selectExpr("'supplier' class", "s_name surface", "s_suppkey instance"))
-    return M.dictionary(forms)
+    return M.dictionary(forms(t))
 
 
 @query("J13_dictionary_lookup", "select c_custkey, count(*) as n from orders join customer on o_custkey = c_custkey group by 1")
@@ -46,15 +49,32 @@ def patterns(t):
     return t.documents.select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.surface")
 
 
+def found_candidates(t):
+    return M.candidates(M.scanned(notes(t).select("id", "text"), words(t), 6), M.instances(forms(t)))
+
+
 @query("K10_candidates", f"select id, 'customer' as class, c_custkey as instance, cast(1.0 as double) as score from {NOTES} union all select id, 'supplier', s_suppkey, 1.0 from {NOTES}")
 def candidates(t):
-    return M.candidates(M.scanned(notes(t).select("id", "text"), words(t), 6)).where("class <> 'part'").select("id", "class", "instance", "score")
+    return found_candidates(t).where("class <> 'part'").select("id", "class", "instance", "score")
+
+
+#: Instances of each order's part name; a name of more than 20 has no candidates.
+NAMED = f"(select n.id, p.p_partkey as instance, c.n as n from {NOTES} n join part p on p.p_name = n.p_name join (select p_name, count(*) as n from part group by 1) c on c.p_name = n.p_name where c.n <= 20)"
+
+
+@query("K10_candidates_of_shared_names", f"select id, 'part' as class, instance, 1.0 / n as score from {NAMED}")
+def shared_candidates(t):
+    return found_candidates(t).where("class = 'part'").select("id", "class", "instance", "score")
 
 
 @query("K18_link_decision", f"select id, 'customer' as class, c_custkey as instance, 'SameAs' as link from {NOTES} union all select id, 'supplier', s_suppkey, 'SameAs' from {NOTES}")
 def link_decision(t):
-    found = M.links(M.candidates(M.scanned(notes(t).select("id", "text"), words(t), 6)))
-    return found.where("class <> 'part'").select("id", "class", "instance", "link")
+    return M.links(found_candidates(t)).where("class <> 'part'").select("id", "class", "instance", "link")
+
+
+@query("K18_link_decision_of_shared_names", f"select id, 'part' as class, instance, case when n = 1 then 'SameAs' else 'PossiblySameAs' end as link from (select *, row_number() over (partition by id order by instance) as nth from {NAMED}) where nth <= 3")
+def shared_link_decision(t):
+    return M.links(found_candidates(t)).where("class = 'part'").select("id", "class", "instance", "link")
 
 
 @query("K31_exact_only", f"select id, p_partkey as instance from {NOTES} where p_name in (select p_name from part group by 1 having count(*) = 1)")
