@@ -2,8 +2,8 @@
 
 Documents are range-partitioned by doc_id and encoded in that order; a shard holds about `SHARD_IDS` ids. In a shard
 the frequent pairs of neighbouring symbols are replaced by nonterminals, round after round, each round the most
-frequent pairs that don't overlap, until none is left that pays or the format's 16-bit symbols are used up. The file stores the rules, each rule's expansion length and the remaining
-symbols, all as 16-bit numbers where they fit; sums of expansion lengths lead from an id's position to its symbol,
+frequent pairs that don't overlap, until none is left that pays or the format's 16-bit symbols are used up. The file
+stores the rules, each rule's expansion length and the remaining symbols, all as 16-bit numbers where they fit; sums of expansion lengths lead from an id's position to its symbol,
 so any range of ids decodes without the rest. Pairs never span two documents.
 
 A shard is one row of a Parquet table in the shared folder: Spark writes and commits the files wherever the cluster
@@ -25,21 +25,74 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_dir, slices, stored
+from .common import offsets, prefix_hash, shared_dir, slices, span_hash, stored
 
 SHARD_IDS = 1 << 20
 END = 0
 MAGIC = b"RPG1"
 #: A rule takes 8 bytes and saves 2 at each place, so it pays from 5 on; a round takes pairs down to 1/FALL of its most frequent.
 PER_ROUND, LEAST, FALL = 3000, 5, 4
-#: Pieces of text in each of the two generations that a worker remembers the ids of.
-KNOWN = 500_000
+#: Pieces of text that a worker remembers the ids of.
+KNOWN = 1_000_000
 #: Shards whose starting positions are broadcast (some 24 bytes each); with more they are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
 
+#: White space of two and three bytes in UTF-8, in any library's eyes (fixed values).
+WIDE_SPACES = [c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+BLANK, POINT, ODD, LETTER, LEAD = (np.zeros(256, bool) for _ in range(5))
+BLANK[[32, 10]] = True
+POINT[[44, 46]] = True
+ODD[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+LETTER[[c for c in range(128) if chr(c).isalnum()]] = True
+LEAD[[c[0] for c in WIDE_SPACES]] = True
+
+
+def piece_starts(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, whether its text has odd white space) of pieces that a byte-level pre-tokenizer never joins.
+
+    A piece is a run of blanks and newlines with the word after it, cut before the word's first full stop or comma where
+    that follows a letter or digit. A text with other white space is one piece.
+    """
+    n = len(body)
+    blank = BLANK[body]
+    new = blank.copy()
+    new[1:] &= ~blank[:-1]
+    point = np.flatnonzero(POINT[body])
+    if len(point):
+        word = np.cumsum(new)[point]
+        first = np.append(True, word[1:] != word[:-1])
+        first[1:] |= np.searchsorted(at, point[1:], "right") != np.searchsorted(at, point[:-1], "right")
+        point = point[first & (point > 0)]
+        before = body[point - 1]
+        fine = LETTER[before]
+        for i in np.flatnonzero(before >= 0x80).tolist():
+            end = int(point[i])
+            fine[i] = body[max(0, end - 4) : end].tobytes().decode(errors="ignore")[-1:].isalnum()
+        new[point[fine]] = True
+    odd = ODD[body]
+    lead = np.flatnonzero(LEAD[body[: n - 1]])
+    for space in WIDE_SPACES if len(lead) else ():
+        here = lead[lead + len(space) <= n]
+        for k, byte in enumerate(space):
+            here = here[body[here + k] == byte]
+        odd[here] = True
+    texts = at[:-1][np.diff(at) > 0]
+    new[texts] = True
+    starts = np.flatnonzero(new)
+    row = np.searchsorted(at, starts, "right") - 1
+    whole = np.zeros(len(at) - 1, bool)
+    whole[np.searchsorted(at, np.flatnonzero(odd), "right") - 1] = True
+    keep = ~whole[row] | (starts == at[row])
+    return starts[keep], whole[row[keep]]
+
+
 class Tokens:
-    """Ids by the tokenizers library. Pieces met before are remembered; new ones go to the library joined, many at once."""
+    """Ids by the tokenizers library. Pieces met before are remembered; new ones go to the library joined, many at once.
+
+    The memory is a table of arrays, sorted by a hash of the piece; a hit's bytes are compared with the piece's, so
+    equal hashes can't give wrong ids.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -49,43 +102,100 @@ class Tokens:
         #: Bytes of each id's text: a byte-level vocabulary writes each byte as one character.
         self.width = np.array([len(self.library.id_to_token(i) or "") for i in range(size)])
         self.first_rule = size
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        # a piece that begins with white space and ends without is encoded alike wherever it stands
-        joinable = [p for p in new if p[0] in " \n" and p[-1] not in " \n"]
-        rest = [p for p in new if not (p[0] in " \n" and p[-1] not in " \n")]
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Hash of each known piece, ascending; where its ids and bytes are in the pools, and how many.
+        self.hash = np.zeros(0, np.uint64)
+        self.where = np.zeros((0, 4), np.int64)
+        self.ids, self.raw = np.zeros(0, np.uint16), np.zeros(0, np.uint8)
+        self.used = np.zeros(0, bool)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint16) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learned(self, new: list[str]) -> list[np.ndarray]:
+        """Ids of each piece; one that begins with white space and ends without is encoded alike wherever it stands."""
+        joinable = [p[0] in " \n" and p[-1] not in " \n" for p in new]
+        together, alone = [p for p, j in zip(new, joinable) if j], [p for p, j in zip(new, joinable) if not j]
         groups, size = [[]], 0
-        for p in joinable:
+        for p in together:
             if size > 1 << 16:
-                groups, size = [*groups, []], 0
+                groups.append([])
+                size = 0
             groups[-1].append(p)
             size += len(p)
-        encode = lambda texts: [np.array(e.ids, np.uint16) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        for group, ids in zip(groups, encode(["".join(g) for g in groups])):
+        found = []
+        for group, ids in zip(groups, self._library(["".join(g) for g in groups])):
             ends = np.cumsum(self.width[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in group]), "left") + 1
-            for p, lo, hi in zip(group, [0, *cuts[:-1].tolist()], cuts.tolist()):
-                self.known[p] = ids[lo:hi].tobytes()
-        for p, ids in zip(rest, encode(rest) if rest else ()):
-            self.known[p] = ids.tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [pieces(t) for t in texts]
-        if len(self.known) > KNOWN:
-            self.old, self.known = self.known, {}
-        met = set().union(*cut).difference(self.known)
-        self.known.update((p, self.old[p]) for p in met if p in self.old)
-        new = sorted(met.difference(self.known))
-        if new:
-            self._learn(new)
-        get = self.known.__getitem__
-        out = [np.frombuffer(b"".join(map(get, c)), np.uint16) for c in cut]
-        for p in new:
-            if len(p) > 64:
-                del self.known[p]
-        return out
+            cut = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in group]), "left") + 1
+            found += np.split(ids, cut[:-1]) if group else []
+        rest, found = iter(self._library(alone) if alone else ()), iter(found)
+        return [next(found) if j else next(rest) for j in joinable]
+
+    def _trim(self) -> None:
+        """Forget what wasn't used since the last time, and all if that isn't enough."""
+        if self.used.sum() > KNOWN // 2:
+            return self._forget()
+        begin, n, raw, size = self.where[self.used].T
+        spread = lambda at, k: np.repeat(at - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        self.ids, self.raw = self.ids[spread(begin, n)], self.raw[spread(raw, size)]
+        self.where = np.column_stack((np.cumsum(n) - n, n, np.cumsum(size) - size, size))
+        self.hash = self.hash[self.used]
+        self.used = np.zeros(len(self.hash), bool)
+        return None
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, ids of each text)."""
+        body, at = offsets(column)
+        if not len(body):
+            return np.zeros(0, np.uint16), np.zeros(len(column), np.int64)
+        if len(self.hash) > KNOWN:
+            self._trim()
+        starts, whole = piece_starts(body, at)
+        ends = np.append(starts[1:], len(body))
+        size = ends - starts
+        key = span_hash(prefix_hash(body), starts, ends)
+        short = (size <= 64) & ~whole
+        found = np.searchsorted(self.hash, key)
+        np.minimum(found, max(0, len(self.hash) - 1), out=found)
+        hit = short & (self.hash[found] == key) if len(self.hash) else np.zeros(len(key), bool)
+        fresh = np.flatnonzero(short & ~hit)
+        if len(fresh):
+            hashes, first = np.unique(key[fresh], return_index=True)
+            first = fresh[first]
+            text = body.tobytes()
+            ids = self._learned([text[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+            n, m = np.array([len(x) for x in ids]), size[first]
+            where = np.column_stack((len(self.ids) + np.cumsum(n) - n, n, len(self.raw) + np.cumsum(m) - m, m))
+            self.ids = np.concatenate((self.ids, *ids))
+            self.raw = np.concatenate((self.raw, body[np.repeat(starts[first] - (np.cumsum(m) - m), m) + np.arange(m.sum())]))
+            to = np.searchsorted(self.hash, hashes)
+            self.hash, self.where = np.insert(self.hash, to, hashes), np.insert(self.where, to, where, axis=0)
+            self.used = np.insert(self.used, to, True)
+            shift = np.cumsum(np.bincount(to, minlength=len(self.hash)))
+            found += shift[found]  # of what was known before
+            found[~short] = 0
+            found[fresh] = np.searchsorted(self.hash, key[fresh])
+        begin, n = self.where[found, 0], self.where[found, 1]
+        self.used[found[short]] = True
+        # the bytes of what was looked up are those of the piece
+        told = self.where[found, 3] == size
+        same = np.repeat(short & told, size)
+        here = np.repeat(self.where[found, 2] - starts, size) + np.arange(len(body))
+        bad = np.zeros(len(key), bool)
+        differs = np.flatnonzero(same)[self.raw[here[same]] != body[same]]
+        bad[np.searchsorted(starts, differs, "right") - 1] = True
+        alone = np.flatnonzero(~short | ~told | bad)
+        pool = self.ids
+        if len(alone):
+            text = body.tobytes()
+            ids = self._library([text[a:b].decode() for a, b in zip(starts[alone].tolist(), ends[alone].tolist())])
+            n[alone] = [len(x) for x in ids]
+            begin[alone] = len(pool) + np.cumsum(n[alone]) - n[alone]
+            pool = np.concatenate((pool, *ids))
+        out = pool[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return out, np.bincount(np.searchsorted(at, starts, "right") - 1, weights=n, minlength=len(column)).astype(np.int64)
 
 
 _TOKENS: dict[str, Tokens] = {}
@@ -97,6 +207,23 @@ def tokens(path: str) -> Tokens:
     return _TOKENS[path]
 
 
+#: An odd multiplier for each try to place a round's pairs in a table of LOOKUP bits without two in one place.
+LOOKUP = 20
+
+
+def placed(chosen: np.ndarray) -> tuple[np.ndarray, np.uint32]:
+    """(table, multiplier): 1 + the number of each chosen pair at its place; pairs are looked up there and compared."""
+    rng = np.random.default_rng(len(chosen))
+    while True:
+        by = np.uint32(rng.integers(0, 1 << 32) | 1)
+        at = np.sort((chosen * by) >> np.uint32(32 - LOOKUP))
+        if (at[1:] != at[:-1]).all():
+            break
+    table = np.zeros(1 << LOOKUP, np.uint16)
+    table[(chosen * by) >> np.uint32(32 - LOOKUP)] = np.arange(1, len(chosen) + 1)
+    return table, by
+
+
 def compress(ids: np.ndarray, lengths: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules (n, 2), symbols of each document): rule k is symbol first_rule + k."""
     symbols = ids.astype(np.uint32)
@@ -108,22 +235,26 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first_rule: int) -> tuple[np.
         room = min(PER_ROUND, (1 << 16) - first_rule - count)
         if len(symbols) < 2 or room <= 0:
             break
-        pair = (symbols[:-1] << np.uint32(16)) | symbols[1:]
-        inner = ~last[:-1]
-        ordered = np.sort(pair[inner])
-        edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        n = np.diff(np.append(edge, len(ordered)))
+        pair = symbols[:-1] << np.uint32(16)
+        pair |= symbols[1:]
+        ordered = pair[~last[:-1]]
+        ordered.sort()
+        edge = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+        edge = np.concatenate(([0], edge, [len(ordered)]))
+        n = np.diff(edge)
         often = np.flatnonzero(n >= LEAST)
-        if not len(often):
+        if not len(ordered) or not len(often):
             break
         often = often[n[often] >= n[often].max() / FALL]
         best = often[np.argsort(-n[often], kind="stable")[:room]]
         chosen = np.sort(ordered[edge[best]])
-        starts = np.zeros(1 << 16, bool)
-        starts[chosen >> 16] = True
-        at = np.flatnonzero(inner & starts[symbols[:-1]])
-        found = np.minimum(np.searchsorted(chosen, pair[at]), len(chosen) - 1)
-        hit = chosen[found] == pair[at]
+        table, by = placed(chosen)
+        place = pair * by
+        place >>= np.uint32(32 - LOOKUP)
+        found = table.take(place)
+        at = np.flatnonzero(found)
+        found = found[at].astype(np.int64) - 1
+        hit = (chosen[found] == pair[at]) & ~last[at]
         at, found = at[hit], found[hit]
         # of occurrences that overlap in a row every other one counts
         run = np.arange(len(at)) - np.maximum.accumulate(np.where(np.append(True, np.diff(at) != 1), np.arange(len(at)), 0))
@@ -222,20 +353,20 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_ids: int = SH
         size = 0
 
         def flush() -> pa.RecordBatch:
-            doc_ids, known, ids = zip(*held)
-            lengths = np.array([len(x) for x in ids], np.int64)
-            data = pack(np.array(doc_ids, np.int64), np.array(known), lengths, np.concatenate(ids), t.first_rule)
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "n_ids": pa.array([int(lengths.sum())], pa.int64()), "payload": pa.array([data], pa.binary())})
+            doc_ids, known, lengths, ids = map(np.concatenate, zip(*held))
+            data = pack(doc_ids, known, lengths, ids, t.first_rule)
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()), "payload": pa.array([data], pa.binary())})
 
-        end = np.array([END], np.uint16)
         for batch in batches:
-            for rows in slices(batch, limit=4 << 20):
-                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), t.encode([x or "" for x in rows.column("text").to_pylist()])):
-                    held.append((doc_id or 0, doc_id is not None, np.concatenate((ids, end))))
-                    size += len(ids) + 1
-                    if size >= shard_ids:
-                        yield flush()
-                        held, size, number = [], 0, number + 1
+            for rows in slices(batch):
+                ids, lengths = t.encode(rows.column("text"))
+                doc_id = rows.column("doc_id")
+                known = doc_id.is_valid().to_numpy(zero_copy_only=False)
+                held.append((doc_id.fill_null(0).to_numpy(zero_copy_only=False), known, lengths + 1, np.insert(ids, np.cumsum(lengths), END)))
+                size += len(held[-1][3])
+                if size >= shard_ids:
+                    yield flush()
+                    held, size, number = [], 0, number + 1
         if held:
             yield flush()
 
