@@ -6,12 +6,17 @@ their concatenation gives just these two). So a left-to-right reader needs only
 positions where a token may still begin, which makes a finite state. Transitions carry the change in the number
 of emitted tokens. States and transitions are interned as they are met, so a worker compiles what its texts use.
 
-No piece of the vocabulary continues from another character into a word mark (checked when compiling), so a
-blank after a non-blank brings every state back to the start. The map of a chunk of text is then constant but
-for its open head: (head, closed count, open tail), and maps compose associatively; `scan` folds the maps of a
-long text pairwise, level by level, as a prefix scan does.
+No piece of the vocabulary continues from another character into a word mark (checked when compiling), so a mark
+after another character leads from every state where it leads from the start. A blank and a mark in the text itself are
+one symbol to the library; texts are cut into units at runs of either. Units of short texts are remembered.
 
-Nulls: a null text is empty and has no tokens. Repeated rows each give a row. Other columns are ignored.
+A long text is cut into chunks of `CHUNK` characters, whatever stands at their ends. The map of a chunk takes any state
+to the state and the count behind the chunk: it keeps the run from the start state, and a run from another state is
+followed only until it meets that one. Maps compose associatively (`Composed`), also inside one unbroken word; `scan`
+composes them pairwise, level by level, as a prefix scan does.
+
+Nulls: a null text is empty and has no tokens. Repeated rows each give a row. Other columns are ignored. Empty table:
+empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +32,12 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 MARK = "▁"
 #: Characters of a text in one chunk of the scan.
 CHUNK = 1 << 16
-#: A run of blanks and the characters up to the next blank.
-UNIT = re.compile(r" *[^ ]+| +")
+#: Chunks of one scan.
+CHUNKS = 16
+#: A run of word marks and the characters up to the next mark.
+UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Pairs of tokens that are remembered as compatible or not; beyond it remembering starts anew.
+MOST_PAIRS = 1_000_000
 
 
 class Transducer:
@@ -41,7 +50,6 @@ class Transducer:
         self.longest = max(map(len, scores), default=1)
         if any(MARK in p.lstrip(MARK) for p in scores):
             raise ValueError("a piece has a word mark after another character: words aren't independent")
-        self.fits: dict[tuple[str, str], bool] = {}
         self.units = Memo(self._unit)
         self.most = most
         self._reset()
@@ -54,6 +62,7 @@ class Transducer:
         self.content: list[tuple] = [start]
         #: (state, character) to (next state, tokens emitted)
         self.next: dict[int, int] = {}
+        self.fits: dict[tuple[str, str], bool] = {}
 
     def merge(self, text: str) -> list[str]:
         """The tokens of a short string by definition: always merge the best scored neighbours, leftmost first."""
@@ -70,11 +79,15 @@ class Transducer:
         if not a:
             return True
         if (a, b) not in self.fits:
+            if len(self.fits) >= MOST_PAIRS:
+                self.fits.clear()
             self.fits[a, b] = self.merge(a + b) == [a, b]
         return self.fits[a, b]
 
     def step(self, state: int, char: str) -> tuple[int, int]:
         """(next state, tokens emitted) of reading a character; emitted can be negative, when tokens join."""
+        if char == MARK and not self.content[state][0].endswith(MARK):
+            state = 0  # a mark after another character: as from the start
         held, cuts = self.content[state]
         text, size = held + char, len(held) + 1
         live = [i for i in range(size - 1) if held[i:] in self.prefixes] + [size - 1]
@@ -86,10 +99,22 @@ class Transducer:
         emitted += 1 if token in self.scores else len(char.encode())  # else byte fallback
         still = [(i, c) for i, c in zip(live, cuts) if text[i:] in self.prefixes]
         to = (text[still[0][0] :] if still else "", (*[(t, n - emitted) for _, (t, n) in still], (token, 0)))
-        if to not in self.states:
-            self.states[to] = len(self.content)
-            self.content.append(to)
-        return self.states[to], emitted
+        return self.known(to), emitted
+
+    def known(self, content: tuple) -> int:
+        """The number of a state."""
+        if content not in self.states:
+            self.states[content] = len(self.content)
+            self.content.append(content)
+        return self.states[content]
+
+    def trimmed(self, state: int) -> int:
+        """The state, after compiling has started anew if too many are kept."""
+        if len(self.content) > self.most:
+            content = self.content[state]
+            self._reset()
+            state = self.known(content)
+        return state
 
     def run(self, text: str, state: int = 0) -> tuple[int, int]:
         """(state, tokens) after reading text from a state; text has word marks for blanks."""
@@ -105,52 +130,68 @@ class Transducer:
         return state, count
 
     def _unit(self, text: str) -> int:
-        if len(self.content) > self.most:
-            self._reset()
-        return self.run(text.replace(" ", MARK))[1]
-
-    # chunk maps: (head, closed, tail); head None: no blank after a non-blank yet, all is in tail
-    def chunk(self, text: str) -> tuple[str | None, int, str]:
-        units = UNIT.findall(text)
-        if len(units) < 2:
-            return None, 0, text
-        return units[0], sum(map(self.units.__getitem__, units[1:-1])), units[-1]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        if a[0] is None:
-            joined = a[2] + (b[2] if b[0] is None else b[0])
-            return self._absorb(None, 0, joined) if b[0] is None else self._absorb_head(joined, b)
-        if b[0] is None:
-            return self._absorb(a[0], a[1], a[2] + b[2])
-        return a[0], a[1] + sum(map(self.units.__getitem__, UNIT.findall(a[2] + b[0]))) + b[1], b[2]
-
-    def _absorb(self, head: str | None, closed: int, tail: str) -> tuple:
-        units = UNIT.findall(tail)
-        if len(units) < 2:
-            return head, closed, tail
-        if head is None:
-            return units[0], sum(map(self.units.__getitem__, units[1:-1])), units[-1]
-        return head, closed + sum(map(self.units.__getitem__, units[:-1])), units[-1]
-
-    def _absorb_head(self, joined: str, b: tuple) -> tuple:
-        units = UNIT.findall(joined)
-        return units[0], b[1] + sum(map(self.units.__getitem__, units[1:])), b[2]
-
-    def scan(self, maps: list[tuple]) -> tuple:
-        """The composition of all maps, by pairs, level by level."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
+        return self.run(text)[1]
 
     def count(self, text: str) -> int:
         if not text:
             return 0
-        text = " " + text  # the model's dummy prefix
+        state, count = self.trimmed(0), 0
+        text = MARK + text.replace(" ", MARK)  # the model's dummy prefix
         if len(text) <= CHUNK:
             return sum(map(self.units.__getitem__, UNIT.findall(text)))
-        head, closed, tail = self.scan([self.chunk(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])
-        ends = UNIT.findall(tail) if head is None else [*UNIT.findall(head), *UNIT.findall(tail)]
-        return closed + sum(map(self.units.__getitem__, ends))
+        # states keep their numbers within a scan of some chunks, so memory is bounded for any text
+        for lo in range(0, len(text), CHUNK * CHUNKS):
+            state, n = scan([ChunkMap(self, text[i : i + CHUNK]) for i in range(lo, min(len(text), lo + CHUNK * CHUNKS), CHUNK)])(state)
+            state, count = self.trimmed(state), count + n
+        return count
+
+
+class ChunkMap:
+    """From any state before a chunk to (state, tokens) behind it.
+
+    From a unit's end on every run is the same; within the first unit (the head) a run from another state is read on only
+    until it is in the state of the run from the start, which is kept: `path` has its state and count before each character.
+    """
+
+    def __init__(self, by: Transducer, text: str):
+        self.by = by
+        units = UNIT.findall(text)
+        self.head, rest = units[0], units[1:]
+        self.path = [(0, 0)]
+        for char in self.head:
+            state, n = by.run(char, self.path[-1][0])
+            self.path.append((state, self.path[-1][1] + n))
+        # units before the last are closed: the mark that follows them forgets what they end in
+        self.rest = (by.run(rest[-1])[0], sum(map(by.units.__getitem__, rest))) if rest else None
+
+    def __call__(self, state: int) -> tuple[int, int]:
+        at, count = 0, 0
+        while at < len(self.head) and state != self.path[at][0]:
+            state, n = self.by.run(self.head[at], state)
+            count += n
+            at += 1
+        if state == self.path[at][0]:
+            state, count = self.path[-1][0], count + self.path[-1][1] - self.path[at][1]
+        return (self.rest[0], count + self.rest[1]) if self.rest else (state, count)
+
+
+class Composed:
+    """The map of two neighbouring stretches of text, from their maps."""
+
+    def __init__(self, first, second):
+        self.first, self.second = first, second
+
+    def __call__(self, state: int) -> tuple[int, int]:
+        state, a = self.first(state)
+        state, b = self.second(state)
+        return state, a + b
+
+
+def scan(maps: list):
+    """The composition of all maps, by pairs, level by level."""
+    while len(maps) > 1:
+        maps = [Composed(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
 
 
 _COMPILED: dict[str, Transducer] = {}
