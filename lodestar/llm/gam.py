@@ -5,8 +5,9 @@ turn and adds a shrunken shallow tree over the feature's bins to its lookup tabl
 a sum of trees on one feature. The pairs that explain most of what is left get two-dimensional tables, boosted the
 same way. A score is the logistic of a sum of table entries: one vectorised gather for each table.
 
-Fitting takes a bounded sample of labelled rows: at most `fit_rows`, first by hash of the id, ids with
-crc32(id) mod 3 = 1 held out. Features and scores cover all documents. The model is a few thousand numbers.
+Fitting takes a bounded sample of labelled rows: at most `fit_rows` ids, first by hash, ids with crc32(id) mod 3 = 1
+held out, and of their rows with different features at most `fit_rows`, again first by hash. Features and scores cover
+all documents. The model is a few thousand numbers.
 
 Nulls: a null text is empty and is scored; rows without a doc_id are scored and never used to learn; null labels are
 ignored; of several labels of an id the smallest counts. Without labels of both kinds every score is the share of 1
@@ -182,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "x": pa.array(x.tolist(), pa.list_(pa.float32()))})
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    got = rows.mapInArrow(step, "doc_id long, x array<float>").limit(4 * fit_rows + 1000).toPandas()
+    # equal rows have equal features and count once; the sample is the first fit_rows by hash, in one job
+    got = rows.mapInArrow(step, "doc_id long, x array<float>").distinct().orderBy(F.xxhash64("doc_id", "x"), "doc_id", "x").limit(fit_rows).toPandas()
     x = np.array(got["x"].tolist(), np.float32).reshape(-1, len(FEATURES))
     ids = got["doc_id"].to_numpy(np.int64)
     order = np.lexsort((*x.T, ids))

@@ -129,15 +129,6 @@ def test_transducer_counts(docs, rows):
     assert got == sorted(((r[0], len((r[1] or "").encode()), n := len(sp.encode(r[1] or "")), n > 4096) for r in rows), key=plain.key)
 
 
-def test_transducer_scan_of_chunks(monkeypatch):
-    t = transducer.compiled(PIECES)
-    text = "some words " * 50 + "w" * 300 + "   and  blanks   " * 40 + " " * 90 + "日本 語 " * 30
-    whole = t.count(text)
-    for size in (1, 7, 64, 501):
-        monkeypatch.setattr(transducer, "CHUNK", size)
-        assert t.count(text) == whole
-
-
 def test_mix(docs, rows):
     got = mixing.curriculum(docs).toPandas()
     sizes = defaultdict(int)
@@ -231,3 +222,25 @@ def test_empty_tables(none, labels):
         mixing.mixed_rows(none), media.stored_and_read(none), repeats.repeats_removed(none), simhash.near_duplicates(none), simhash.one_of_each(none), bpe.encode_documents(none, RANKS, public_tokenizers.PATTERN),
     ):
         assert df.isEmpty()
+
+
+def test_gam_sample_is_the_same_in_any_order(spark):
+    """Ids with many different rows: the bounded sample doesn't depend on how rows lie."""
+    rows = [(i % 40, f"word{i} " * (i % 23 + 1) + "!" * (i % 5)) for i in range(900)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    score = lambda d: sorted((r.doc_id, r.score) for r in gam.classified(d, labels, fit_rows=60).collect())
+    assert score(docs.repartition(1)) == score(docs.repartition(6)) == score(docs.orderBy(F.desc("text")))
+
+
+def test_gam_with_labels_of_one_class_or_none(docs, rows, spark):
+    for marks, share in (([(r[0], 1) for r in rows if r[0] is not None], 0.999), ([], 0.5)):
+        got = gam.classified(docs, spark.createDataFrame(marks, "doc_id long, quality int")).toPandas()
+        assert len(got) == len(rows) and got.score.tolist() == pytest.approx([share] * len(rows))
+
+
+def test_gam_on_the_tables(spark):
+    """Held-out rows of the synthetic tables, against always saying 1."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    held = gam.classified(docs, labels).where("held_out").join(labels, "doc_id").toPandas()
+    assert len(held) > 50 and (held.predicted == held.quality).mean() > max(0.97, held.quality.mean())
