@@ -7,8 +7,6 @@ follows the slice and its longest text, not the partition.
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, shared_dir, stored
+
+__all__ = ["discard", "documents", "map_slices", "shared_dir", "stored"]
+
 #: Bytes of text handled at once inside a task.
 SLICE_BYTES = 2 << 20
 #: ASCII white space, as the word definition `[^\x20\x09-\x0D]+` has it.
@@ -27,24 +29,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which the cluster names; a temporary one only where it is unset."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("lodestar.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
-        spark.conf.set("lodestar.checkpoint.dir", base)
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def offsets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, n + 1 offsets) of a string or binary column without a copy; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):

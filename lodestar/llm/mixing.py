@@ -6,11 +6,13 @@ by t. A document lies at an interval of its source's token line (in hash order);
 interval's middle gives its training position, and documents are range-sorted by position. A target above the
 source's size is met by further passes over the line, so a document is taken up to three times.
 
-Prefix sums of a source are made in two levels: within (source, hash bucket), then over the buckets' totals, so
-no source is ever one task. Buckets follow the number of rows.
+Rows that are alike in every column are one stretch of the line with a number of copies. Prefix sums of a source are
+made in three levels: within (source, hash bucket), over the buckets of a group of buckets, over the groups, so no
+source is ever one task. Buckets follow the number of rows, and a stretch's place is a hash of the whole row, so rows
+without an id or with one in common spread as others do.
 
 Nulls: a null text has size 0 and takes no words; null sources form one source, last in order; null doc_ids are
-ordinary documents, which hash alike. Repeated rows each take a place. Empty table: empty result.
+ordinary documents. Repeated rows each take a place. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +30,11 @@ WEIGHTS = (5, 2, 1)
 SLOPES = (0.5, -0.5, 0.0)
 #: A target stops at this many times its source's size.
 MOST = 3.0
-#: Documents in a hash bucket, about.
-BUCKET_ROWS = 20_000
+#: Stretches in a hash bucket, about, and buckets in a group.
+BUCKET_ROWS = 2_000
+GROUP = 1024
+#: Sources whose table is broadcast (some 60 bytes each); with more it is joined by a shuffle.
+MOST_BROADCAST = 50_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, most: float = MOST) -> list[float]:
@@ -51,59 +56,76 @@ def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, most: floa
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words of each document, with its place in its source's order."""
-    return docs.select(
+    """doc_id, source, size (words), mark (hash of the text), row (hash of all columns) and copies of each different row."""
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit("mix"), F.col("doc_id").cast("long")).alias("place"),
         F.xxhash64(F.col("text").cast("string")).alias("mark"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
     )
+    return rows.groupBy("doc_id", "source", "size", "mark", "row").agg(F.count("*").alias("copies"))
 
 
-def curriculum(docs: DataFrame, weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, most: float = MOST) -> DataFrame:
-    """doc_id, mark (hash of the text), source, size, source_size, target, passes (times taken), taken, positions (array of training times).
+def before(*by: str, order: Sequence[str]) -> Window:
+    return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
-    Rows are sorted by the first position.
-    """
+
+def lines(docs: DataFrame, weights: Sequence[float], slopes: Sequence[float], most: float) -> DataFrame:
+    """sized(docs) with source_size, target and slope of the source, and begin: where the stretch begins on its source's line."""
     spark = docs.sparkSession
     rows = stored(sized(docs), "sizes")
     # one row a source: a table of sources, which are few by nature and are ordered here
-    by_source = sorted(((r["source"], r["n"], r["total"]) for r in rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("total")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
-    goal = targets([r[2] for r in by_source], weights, most)
-    table = spark.createDataFrame([(r[0], int(r[2]), float(g), float(slopes[i % len(slopes)])) for i, (r, g) in enumerate(zip(by_source, goal))], "source string, source_size long, target double, slope double")
-    buckets = max(1, -(-sum(r[1] for r in by_source) // BUCKET_ROWS))
-    rows = rows.withColumn("bucket", F.floor((F.col("place") / F.lit(2.0**64) + 0.5) * buckets).cast("int"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("here")).withColumn("base", F.coalesce(F.sum("here").over(before), F.lit(0)))
-    head = totals.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "base").join(F.broadcast(table.withColumnRenamed("source", "t")), F.col("s").eqNullSafe(F.col("t"))).drop("t")
-    inner = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, -1)
-    line = rows.withColumn("at", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    line = line.join(head, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-    middle = F.col("base") + F.col("at") + F.col("size") / 2
-    # in pass k the document's middle is at middle + k * source_size; it is taken if the demand reaches it
-    passes = F.when((F.col("size") > 0) & (F.col("target") >= middle), F.least(F.lit(int(most)), F.floor((F.col("target") - middle) / F.col("source_size")) + 1)).otherwise(0).cast("long")
-    line = line.withColumn("passes", passes).withColumn("middle", middle)
-
-    def position(k):
-        share = F.least(F.lit(1.0), (F.col("middle") + k * F.col("source_size")) / F.col("target"))
-        # solve (1 - slope) t + slope t^2 = share for t in [0, 1]
-        a, b = F.col("slope"), 1 - F.col("slope")
-        return F.when(a == 0, share).otherwise((F.sqrt(b * b + 4 * a * share) - b) / (2 * F.when(a == 0, 1.0).otherwise(a)))
-
-    where = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0), (F.col("passes") - 1).cast("int")), position)).otherwise(F.array().cast("array<double>"))
-    out = line.select("doc_id", "mark", "source", "size", "source_size", "target", "passes", (F.col("size") * F.col("passes")).alias("taken"), where.alias("positions"))
+    by_source = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("total")).collect()
+    by_source = sorted(by_source, key=lambda r: (r["source"] is None, r["source"] or ""))
+    goal = targets([r["total"] for r in by_source], weights, most)
+    table = spark.createDataFrame([(r["source"], int(r["total"]), float(g), float(slopes[i % len(slopes)])) for i, (r, g) in enumerate(zip(by_source, goal))], "s string, source_size long, target double, slope double")
+    table = F.broadcast(table) if len(by_source) <= MOST_BROADCAST else table
+    buckets = max(1, -(-sum(r["n"] for r in by_source) // BUCKET_ROWS))
+    place = F.xxhash64(F.lit("mix"), "doc_id", "row")
+    rows = rows.withColumn("place", place).withColumn("bucket", F.floor((F.col("place") / F.lit(2.0**64) + 0.5) * buckets).cast("long"))
+    rows = rows.withColumn("words", F.col("size") * F.col("copies"))
+    sums = lambda order, *by: F.coalesce(F.sum("words").over(before(*by, order=order)), F.lit(0))
+    per_bucket = stored(rows.groupBy("source", "bucket").agg(F.sum("words").alias("words")).withColumn("group", F.expr(f"bucket div {GROUP}")), "buckets")
+    per_group = per_bucket.groupBy("source", "group").agg(F.sum("words").alias("words")).withColumn("base", sums(["group"], "source"))
+    per_group = per_group.select(F.col("source").alias("s"), F.col("group").alias("g"), "base")
+    within = per_bucket.withColumn("skip", sums(["bucket"], "source", "group"))
+    head = within.join(per_group, F.col("source").eqNullSafe(F.col("s")) & (F.col("group") == F.col("g"))).drop("s")
+    head = head.join(table, F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("bucket").alias("b"), (F.col("base") + F.col("skip")).alias("base"), "source_size", "target", "slope")
+    rows = rows.withColumn("at", sums(["place", "doc_id", "row"], "source", "bucket"))
+    rows = rows.join(head, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    return rows.withColumn("begin", F.col("base") + F.col("at")).drop("s", "b", "base", "at", "place", "bucket", "words")
+
+
+def positions(most: float) -> str:
+    """SQL: the training times of copy j of a stretch. In pass k its middle is k source sizes further on; it is taken if the demand reaches it."""
+    middle = "(begin + (j + 0.5D) * size)"
+    passes = f"if(size > 0 and target >= {middle}, least({int(most)}, cast(floor((target - {middle}) / source_size) as int) + 1), 0)"
+    share = f"least(1.0D, ({middle} + k * source_size) / target)"
+    # solve (1 - slope) t + slope t^2 = share for t in [0, 1]
+    time = f"if(slope = 0, {share}, (sqrt((1 - slope) * (1 - slope) + 4 * slope * {share}) - (1 - slope)) / (2 * slope))"
+    return f"transform(filter(sequence(0, {int(most) - 1}), k -> k < {passes}), k -> {time})"
+
+
+def curriculum(docs: DataFrame, weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, most: float = MOST) -> DataFrame:
+    """doc_id, mark (hash of the text), source, size, source_size, target, passes (times taken), taken, positions (array of training times).
+
+    One row for each row of docs, sorted by the first position.
+    """
+    line = lines(docs, weights, slopes, most).withColumn("j", F.explode(F.expr("sequence(0L, copies - 1)"))).withColumn("positions", F.expr(positions(most)))
+    passes = F.size("positions").cast("long")
+    out = line.select("doc_id", "mark", "source", "size", "source_size", "target", passes.alias("passes"), (F.col("size") * passes).alias("taken"), "positions")
     return out.withColumn("first", F.get("positions", F.lit(0))).repartitionByRange(F.col("first").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("first").asc_nulls_last(), "doc_id").drop("first")
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, most: float = MOST) -> DataFrame:
     """The rows of docs as the mix takes them, repeats included, range-sorted by training position; columns as before."""
     names = docs.columns
-    plan = curriculum(docs, **options).groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "mark").agg(F.flatten(F.collect_list("positions")).alias("p"), F.count("*").alias("twins"))
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id")
-    packed = docs.select(id_, F.expr("xxhash64(cast(text as string))").alias("mark"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    # rows alike in id and text share the positions that they have together
-    nth = F.row_number().over(Window.partitionBy("id", "mark").orderBy(F.xxhash64("row")))
-    joined = packed.join(plan.where("size(p) > 0"), ["id", "mark"]).withColumn("nth", nth)
-    taken = joined.select("row", F.explode(F.expr("filter(p, (x, j) -> j % twins = nth - 1)")).alias("at"))
-    return taken.repartitionByRange("at").sortWithinPartitions("at").select("row.*")
+    id_ = lambda c: F.coalesce(c.cast("long"), F.lit(-(2**63))).alias("id")
+    plan = lines(docs, weights, slopes, most).withColumn("p", F.expr(f"flatten(transform(sequence(0L, copies - 1), j -> {positions(most)}))"))
+    plan = plan.where("size(p) > 0").select(id_(F.col("doc_id")), "mark", "row", "p")
+    # rows alike in every column are one here, too: combined before the shuffle, each goes on as often as its copies are taken
+    packed = docs.select(id_(F.col("doc_id")), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("row"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("all"))
+    one = packed.groupBy("id", "mark", "row").agg(F.first("all").alias("all"))
+    taken = one.join(plan, ["id", "mark", "row"]).select("all", F.explode("p").alias("at"))
+    return taken.repartitionByRange("at").sortWithinPartitions("at").select("all.*")

@@ -29,7 +29,7 @@ def op3_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonym_rows(documents(spark, sf_dir))
+    return pseudonyms.pseudonym_rows(documents(spark, sf_dir), pseudonyms.key_of(spark, pseudonyms.OPEN_KEY))
 
 
 def op5_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,11 @@ A fingerprint bit is 1 if set in over half the XXH64 values (seed 42) of a text'
 Two fingerprints link at `radius` or fewer differing bits. Only distinct fingerprints are searched; copies share
 one. The search has two layers:
 
-* Shards. The 64 bits are cut into radius + 1 blocks; a linked pair agrees on at least one, so each
-  fingerprint goes to radius + 1 shards keyed by (block, its bits). A shard above `shard_rows` rows is split on by
-  its own vantage points: a row goes to the half its Hamming distance to the vantage point puts it in, and to the
-  other half too where it lies within `radius` of the border, so boundary pairs meet somewhere. The splits of a
-  shard are fixed from a bounded sample of it; every row is placed.
+* Shards. The 64 bits are cut into radius + 1 blocks; a linked pair agrees on at least one, so each fingerprint goes
+  to radius + 1 shards, keyed by a hash of (block, its bits) modulo a number that makes shards of about `shard_rows`.
+  A shard that is crowded all the same is parted by vantage points: a row goes to the half its Hamming distance to the
+  vantage point puts it in, and to the other half too where it lies within `radius` of the border, so boundary pairs
+  meet somewhere. Vantage points and borders come from histograms of distances, made by Spark for all shards at once.
 * Trees. Each shard builds a vantage-point tree and answers its fingerprints in it, skipping a branch when the
   triangle bound puts all of it out of reach.
 
@@ -26,17 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, stored, word_spans
+from .common import discard, map_slices, stored, word_spans
 
 SEED = 42
 RADIUS = 2
-#: Rows of one shard handled by one tree; larger shards are split by vantage points first.
-SHARD_ROWS = 20_000
-#: Rows of a large shard from which its splits are chosen.
-SPLIT_SAMPLE = 2_000
+#: Fingerprints in a shard, about; one of CROWDED times as many is parted by vantage points first.
+SHARD_ROWS, CROWDED = 8_192, 4
+#: Vantage points tried on a shard that the ones before don't part, and rounds of parting.
+VANTAGES, SPLITS = 3, 40
 LEAF = 24
 
 
@@ -169,77 +169,39 @@ def blocks(parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def split_paths(fps: np.ndarray, plan: list, radius: int) -> list[tuple[str, np.ndarray]]:
-    """(leaf name, rows) of a shard's rows under its splits; rows near a border are in both halves."""
-    out, todo = [], [("", plan, np.arange(len(fps)))]
-    while todo:
-        name, node, rows = todo.pop()
-        if not node:
-            out.append((name, rows))
-            continue
-        vantage, cut, near, far = node
-        d = hamming(fps[rows], np.uint64(vantage))
-        todo += [(name + "n", near, rows[d <= cut + radius]), (name + "f", far, rows[d > cut - radius])]
-    return out
-
-
-def split_plan(sample: np.ndarray, rows: int, limit: int, radius: int) -> list:
-    """Nested (vantage, cut, near, far) that bring `rows` rows like the sample to about `limit` a leaf."""
-    if rows <= limit or len(sample) < 8:
-        return []
-    best = None
-    for v in sample[:: max(1, len(sample) // 16)][:16]:
-        d = hamming(sample, v)
-        for cut in np.unique(d):
-            both = max(int((d <= cut + radius).sum()), int((d > cut - radius).sum()))
-            if best is None or both < best[0]:
-                best = (both, int(v), int(cut))
-    if best[0] > 0.9 * len(sample):
-        return []  # all within reach of each other: no split parts them
-    d = hamming(sample, np.uint64(best[1]))
-    near, far = sample[d <= best[2] + radius], sample[d > best[2] - radius]
-    per = rows / len(sample)
-    return [best[1], best[2], split_plan(near, int(per * len(near)), limit, radius), split_plan(far, int(per * len(far)), limit, radius)]
+def parted(rows: DataFrame, limit: int, radius: int) -> DataFrame:
+    """rows (shard, leaf, fp) with shards above the limit cut into leaves by vantage points, border rows in both halves."""
+    for _ in range(SPLITS):
+        tries = F.length("leaf") - F.length(F.rtrim(F.col("leaf"), F.lit("~")))
+        sizes = rows.groupBy("shard", "leaf").agg(F.count("*").alias("n"), *[F.min_by("fp", F.xxhash64("fp", F.lit(i))).alias(f"v{i}") for i in range(VANTAGES)])
+        crowded = sizes.where((F.col("n") > limit) & (tries < VANTAGES)).select("shard", "leaf", "n", F.get(F.array(*[f"v{i}" for i in range(VANTAGES)]), tries).alias("vantage"))
+        crowded = stored(crowded, "crowded")
+        if crowded.isEmpty():
+            discard(crowded)
+            return rows
+        distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))
+        counts = rows.join(crowded, ["shard", "leaf"]).groupBy("shard", "leaf", "vantage", "n", distance.alias("d")).agg(F.count("*").alias("c"))
+        side = lambda test: f"aggregate(filter(h, x -> {test}), 0L, (s, x) -> s + x.c)"
+        best = F.expr(f"array_min(transform(sequence(0, 63), t -> named_struct('worst', greatest({side(f'x.d <= t + {radius}')}, {side(f'x.d > t - {radius}')}), 'cut', t)))")
+        plans = counts.groupBy("shard", "leaf", "vantage", "n").agg(F.collect_list(F.struct("d", "c")).alias("h")).withColumn("best", best)
+        # a vantage point that leaves over nine tenths in a half is of no use: another is tried
+        plans = stored(plans.select("shard", "leaf", "vantage", F.when(F.col("best.worst") <= 0.9 * F.col("n"), F.col("best.cut")).alias("cut"), F.lit(True).alias("planned")), "plans")
+        halves = F.expr(f"filter(array(if(d <= cut + {radius}, concat(leaf, 'n'), null), if(d > cut - {radius}, concat(leaf, 'f'), null)), x -> x is not null)")
+        to = F.when(F.col("planned").isNull(), F.array("leaf")).when(F.col("cut").isNull(), F.array(F.concat("leaf", F.lit("~")))).otherwise(halves)
+        moved = rows.join(plans, ["shard", "leaf"], "left").withColumn("d", distance).select("shard", F.explode(to).alias("leaf"), "fp")
+        rows = stored(moved, "parted")
+    return rows
 
 
 def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints whose components are those of all links within the radius."""
-    parts = blocks(radius + 1)
-    keys = F.array(*[F.struct(F.lit(i).alias("block"), F.expr(f"shiftrightunsigned(fp, {shift}) & {(1 << bits) - 1}L").alias("bits")) for i, (shift, bits) in enumerate(parts)])
-    placed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.block", "k.bits")
-    # crowded shards and a bounded sample of each: their number is at most rows / shard_rows
-    crowded = placed.groupBy("block", "bits").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows)
-    plans = {}
-    heavy = crowded.select("block", "bits", "n").collect()
-    if heavy:
-        rate = F.least(F.lit(1.0), F.lit(float(SPLIT_SAMPLE)) / F.col("n"))
-        picked = placed.join(F.broadcast(crowded), ["block", "bits"]).where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < rate * (1 << 20)).groupBy("block", "bits", "n").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-        for r in picked.collect():
-            plans[r["block"], r["bits"]] = split_plan(np.array(r["fps"], np.int64).view(np.uint64), r["n"], shard_rows, radius)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = np.asarray(batch.column("fp"))
-            keys = list(zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist()))
-            hot: dict[tuple, list[int]] = {}
-            cold = []
-            for i, k in enumerate(keys):
-                hot.setdefault(k, []).append(i) if k in plans else cold.append(i)
-            names, rows = [f"{keys[i][0]}:{keys[i][1]}" for i in cold], list(cold)
-            for k, at in hot.items():
-                at = np.array(at)
-                for leaf, inside in split_paths(fp[at].view(np.uint64), plans[k], radius):
-                    names += [f"{k[0]}:{k[1]}:{leaf}"] * len(inside)
-                    rows += at[inside].tolist()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array(names, pa.string()), "fp": pa.array(fp[rows], pa.int64())})
-
-    if plans:
-        sharded = placed.mapInArrow(place, "shard string, fp long")
-    else:
-        sharded = placed.select(F.concat_ws(":", "block", "bits").alias("shard"), "fp")
+    shards = max(1, fps.count() // shard_rows)
+    keys = [F.pmod(F.xxhash64(F.lit(i), F.expr(f"shiftrightunsigned(fp, {shift}) & {(1 << bits) - 1}L")), F.lit(shards)) + i * shards for i, (shift, bits) in enumerate(blocks(radius + 1))]
+    placed = fps.select("fp", F.explode(F.array(*keys)).alias("shard")).select("shard", F.lit("").alias("leaf"), "fp")
+    sharded = parted(placed, CROWDED * shard_rows, radius)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by shard: a shard's rows are gathered, shards of one row are passed over
+        # rows come sorted by shard: a shard's rows are gathered, fingerprints alone in theirs are passed over
         held_name, held = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -252,7 +214,7 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            coded = batch.column("shard").dictionary_encode()
+            coded = batch.column("name").dictionary_encode()
             code, fp = np.asarray(coded.indices), np.asarray(batch.column("fp")).view(np.uint64)
             edge = np.flatnonzero(np.diff(code)) + 1
             for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(code)]):
@@ -263,8 +225,8 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) ->
                 held.append(fp[lo:hi])
         yield from flush()
 
-    crowd = sharded.withColumn("one", F.lit(1))
-    return crowd.repartition(F.col("shard")).sortWithinPartitions("shard").select("shard", "fp").mapInArrow(search, "a long, b long")
+    named = sharded.select(F.concat_ws(":", "shard", "leaf").alias("name"), "fp")
+    return named.repartition("name").sortWithinPartitions("name").mapInArrow(search, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -291,6 +253,7 @@ def components(edges: DataFrame) -> DataFrame:
         to = _flattened(to)
         out = to if out is None else to.join(out.toDF("to", "next"), "to", "left").select("v", F.coalesce("next", "to").alias("to"))
         out = stored(out, "roots")
+    discard(*hops)
     return out.toDF("fp", "root")
 
 
@@ -304,32 +267,29 @@ def _flattened(to: DataFrame) -> DataFrame:
         to = two.select("v", F.col("far").alias("to"))
 
 
-def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, mark, fp, root (a fingerprint that names the component)."""
-    prints = stored(fingerprints(docs), "prints")
-    classes = prints.select("fp").distinct()
-    roots = components(links(classes, radius))
-    return prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def classes(prints: DataFrame, radius: int) -> DataFrame:
+    """fp, component_id of each distinct fingerprint: copies meet here as one row, combined before the shuffle."""
+    each = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    roots = stored(components(links(each.select("fp"), radius)), "components")
+    least = roots.join(each, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = roots.join(least, "root").select("fp", "component_id")
+    # a table of its own, so that a join with it can split a hot fingerprint
+    return stored(each.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "ids")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links)."""
-    rows = stored(grouped(docs, radius), "grouped")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root").select("doc_id", "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that are the first of their group, by doc_id and then by a hash of the text; of equal rows one."""
-    return first_of_each(docs, grouped(docs, radius))
+    prints = stored(fingerprints(docs, words), "prints")
+    return prints.join(classes(prints, radius), "fp").select("doc_id", "fp", "component_id")
 
 
 def first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The row of docs that is the first of each root in rows (doc_id, mark, root)."""
+    """The row of docs that is the first of each root in rows (doc_id, mark, root): by doc_id, then by a hash of the text."""
     names = docs.columns
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("k"))
     keep = first.select(F.coalesce("k.doc_id", F.lit(-(2**63))).alias("id"), F.col("k.mark").alias("mark")).distinct()
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id")
-    packed = docs.select(id_, F.expr("xxhash64(cast(text as string))").alias("mark"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    nth = F.row_number().over(Window.partitionBy("id", "mark").orderBy(F.xxhash64("row")))
-    return packed.join(keep, ["id", "mark"]).withColumn("nth", nth).where("nth = 1").select("row.*")
+    packed = docs.select(id_, F.expr("xxhash64(cast(text as string))").alias("mark"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("all"))
+    # rows equal in id and text become one before the shuffle, however many there are
+    one = packed.groupBy("id", "mark").agg(F.min_by("all", F.xxhash64("all")).alias("all"))
+    return one.join(keep, ["id", "mark"], "left_semi").select("all.*")
