@@ -17,7 +17,11 @@ IDENTIFIER = r"\b[A-Za-z]{2,}-?[0-9]{3,}\b"
 ABBREVIATIONS = ("dr", "mr", "mrs", "ms", "st", "no", "vs", "etc", "e.g", "i.e")
 #: Type of spans: code points start_at to end_at and what is there.
 SPANS = T.ArrayType(T.StructType([T.StructField("start_at", T.IntegerType()), T.StructField("end_at", T.IntegerType()), T.StructField("surface", T.StringType())]))
-TOKEN = r"[A-Za-z0-9]+(?:[.@+-][A-Za-z0-9]+)*|[^\sA-Za-z0-9]"
+#: White space and word characters of any script, for both Python's and Java's patterns (fixed values).
+SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WORD = r"[\p{L}\p{N}]"
+#: A word with inner . @ + or -, or one character that is neither in a word nor white space.
+TOKEN = rf"{WORD}+(?:[.@+-]{WORD}+)*|[^{SPACE}\p{{L}}\p{{N}}]"
 
 
 def slug(c: Column) -> Column:
@@ -35,7 +39,7 @@ def shape(c: Column) -> Column:
 
 def statement_shape(c: Column) -> Column:
     """SQL without comments, literals as ?, single blanks, lower case."""
-    for pattern, to in (("--[^\\n]*", " "), ("/\\*.*?\\*/", " "), ("'[^']*'", "?"), ("\\b[0-9]+(\\.[0-9]+)?\\b", "?"), ("\\s+", " ")):
+    for pattern, to in (("(?s)/\\*.*?\\*/", " "), ("--[^\\n]*", " "), ("'[^']*'", "?"), ("\\b[0-9]+(\\.[0-9]+)?\\b", "?"), ("\\s+", " ")):
         c = F.regexp_replace(c, pattern, to)
     return F.lower(F.trim(c))
 
@@ -67,11 +71,13 @@ def unescaped(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf(SPANS)
-def token_spans(s: pd.Series) -> pd.Series:
-    """Spans of words (with inner . @ + -) and of single punctuation marks, in code points."""
-    find = re.compile(TOKEN).finditer
-    return s.map(lambda t: [(m.start(), m.end(), m.group()) for m in find(t or "")])
+def tokens(c: Column) -> Column:
+    """Words (with inner . @ + -) and single punctuation marks; null has none."""
+    return F.coalesce(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), F.array())
+
+
+def token_count(c: Column) -> Column:
+    return F.coalesce(F.regexp_count(c, F.lit(TOKEN)), F.lit(0))
 
 
 def pattern_spans(pattern: str):

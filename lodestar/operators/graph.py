@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint; the folder is the cluster's, a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestar-"))
-    return df.checkpoint()
+    """df as a table in the shared folder: each round is computed once."""
+    return stored(df, "round")
 
 
 def merged_nodes(rows: DataFrame, *key: str) -> DataFrame:

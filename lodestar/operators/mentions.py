@@ -5,44 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import token_spans
+from ..functions.text import TOKEN, tokens
 
 LONGEST = 12
 #: A name of more instances stays unresolved.
 MOST_CANDIDATES = 20
 
 
+#: First tokens of keys that are broadcast (some 40 bytes each); with more, runs are joined by a shuffle.
+MOST_BROADCAST = 200_000
+
+
 def keyed(forms: DataFrame) -> DataFrame:
-    return forms.distinct().withColumn("key", F.array_join(F.transform(token_spans("surface"), lambda s: F.lower(s["surface"])), " ")).where("key <> ''")
+    return forms.distinct().withColumn("key", F.lower(F.array_join(tokens(F.col("surface")), " "))).where("key <> ''")
+
+
+def dictionary(forms: DataFrame) -> DataFrame:
+    """key, class, surface, n_instances from rows (class, surface, instance).
+
+    The key is the surface's tokens in lower case, joined by blanks. Instances are only counted: candidates come from the
+    whole table of instances, so a surface of very many stays one short row here.
+    """
+    return keyed(forms).groupBy("class", "key").agg(F.min("surface").alias("surface"), F.count_distinct("instance").alias("n_instances"))
+
+
+def starts(words: DataFrame) -> DataFrame:
+    """first, longest: the first token of each key and the most tokens of a key that begins with it."""
+    parts = F.split("key", " ")
+    return words.groupBy(parts[0].alias("first")).agg(F.max(F.size(parts)).alias("longest"))
 
 
-def dictionary(forms: DataFrame, most: int = 12) -> DataFrame:
-    """key, class, surface, instances (at most `most` ids, sorted), n_instances from rows (class, surface, instance).
+def placed(texts: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """id, start_at, first, run, ends: each token of texts (id, text) with the `longest` tokens from it on and where they end, in code points.
 
-    The key is the surface's tokens in lower case, joined by blanks. Instances are counted in full; candidates come from
-    the whole table of instances, so a surface of very many stays one short row here.
+    Places are running sums of the lengths of tokens and of what lies between them, all in JVM expressions.
     """
-    ranked = keyed(forms).withColumn("nth", F.row_number().over(Window.partitionBy("class", "key").orderBy("instance", "surface")))
-    return ranked.groupBy("class", "key").agg(F.min("surface").alias("surface"), F.array_sort(F.collect_list(F.when(F.col("nth") <= most, F.col("instance")))).alias("instances"), F.count_distinct("instance").alias("n_instances"))
+    parts = texts.select("id", tokens(F.col("text")).alias("w"), F.split("text", TOKEN, -1).alias("g"))
+    ends = F.expr("slice(aggregate(zip_with(w, slice(g, 1, size(w)), (x, y) -> length(x) + length(y)), array(0), (acc, x) -> acc || array(element_at(acc, -1) + x)), 2, size(w))")
+    each = F.expr(f"transform(w, (x, i) -> named_struct('start_at', e[i] - length(x), 'first', lower(x), 'run', slice(w, i + 1, {longest}), 'ends', slice(e, i + 1, {longest})))")
+    return parts.where("size(w) > 0").withColumn("e", ends).select("id", F.explode(each).alias("t")).select("id", "t.*")
 
 
-def grams(texts: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """Rows of texts (id, text) as (id, start_at, end_at, key): every run of up to `longest` tokens."""
-    spans = texts.select("id", token_spans("text").alias("s"))
-    runs = F.expr(
-        f"""flatten(transform(sequence(1, {longest}), n -> if(size(s) < n, array(), transform(sequence(0, size(s) - n), i ->
-        named_struct('start_at', s[i].start_at, 'end_at', s[i + n - 1].end_at, 'key', array_join(transform(slice(s, i + 1, n), x -> lower(x.surface)), ' '))))))"""
-    )
-    return spans.select("id", F.explode(runs).alias("g")).select("id", "g.*")
+def grams(texts: DataFrame, words: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """id, start_at, end_at, key: runs of up to `longest` tokens of texts (id, text) that begin as a key of words begins."""
+    heads = starts(words)
+    heads = F.broadcast(heads) if heads.count() <= MOST_BROADCAST else heads
+    runs = F.expr("transform(sequence(1, least(longest, size(run))), n -> named_struct('end_at', ends[n - 1], 'key', lower(array_join(slice(run, 1, n), ' '))))")
+    return placed(texts, longest).join(heads, "first").select("id", "start_at", F.explode(runs).alias("g")).select("id", "start_at", "g.*")
 
 
 def scanned(texts: DataFrame, words: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """id, start_at, end_at, class, key, n_instances, instances: dictionary hits, the longest of those that overlap.
+    """id, start_at, end_at, class, key, surface, n_instances: dictionary hits, the longest of those that overlap.
 
     Of hits in a text the longest goes first, then the leftmost; what it covers is out. Classes of one span all stay.
     """
     keys = words.select("key").distinct()
-    hits = grams(texts, longest).join(keys, "key")
+    hits = grams(texts, words, longest).join(keys, "key")
     found = hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct((F.col("start_at") - F.col("end_at")).alias("size"), "start_at", "end_at", "key"))).alias("h"))
     kept = F.expr("aggregate(h, filter(h, x -> false), (acc, x) -> if(exists(acc, y -> y.start_at < x.end_at and x.start_at < y.end_at), acc, concat(acc, array(x))))")
     return found.select("id", F.explode(kept).alias("x")).select("id", "x.start_at", "x.end_at", "x.key").join(words, "key")
@@ -61,7 +79,7 @@ def candidates(mentions: DataFrame, instances: DataFrame, most: int | None = MOS
     w = Window.partitionBy("id", "start_at", "end_at")
     scored = mentions.withColumn("classes", F.count("*").over(w))
     few = scored if most is None else scored.where(F.col("n_instances") <= most)
-    return few.drop("instances").join(instances, ["class", "key"]).select("id", "start_at", "class", "instance", (1 / (F.col("classes") * F.col("n_instances"))).alias("score"))
+    return few.join(instances, ["class", "key"]).select("id", "start_at", "class", "instance", (1 / (F.col("classes") * F.col("n_instances"))).alias("score"))
 
 
 def links(scored: DataFrame, threshold: float = 0.9, gap: float = 0.05, possible: int = 3) -> DataFrame:

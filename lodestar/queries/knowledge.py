@@ -79,7 +79,8 @@ def shared_link_decision(t):
 
 @query("K31_exact_only", f"select id, p_partkey as instance from {NOTES} where p_name in (select p_name from part group by 1 having count(*) = 1)")
 def exact_only(t):
-    return M.scanned(notes(t).select("id", "text"), words(t).where("n_instances = 1"), 6).where("class = 'part'").select("id", F.element_at("instances", 1).alias("instance"))
+    unique = words(t).where("n_instances = 1")
+    return M.scanned(notes(t).select("id", "text"), unique, 6).where("class = 'part'").join(M.instances(forms(t)), ["class", "key"]).select("id", "instance")
 
 
 @query("J15_span_overlap", f"select id, 1 as n from {NOTES}")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import html
-import re
-
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -21,9 +18,9 @@ def normalise(t):
     return t.documents.select("doc_id", X.normalised(F.col("text")).alias("norm"))
 
 
-@query("F03_token_spans", r"select doc_id, cast(len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[.@+-][A-Za-z0-9]+)*|[^\s\v\x1c-\x1f\x85\p{Z}A-Za-z0-9]')) as bigint) as n_tokens from documents")
+@query("F03_token_spans", r"select doc_id, cast(coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}]+(?:[.@+-][\p{L}\p{N}]+)*|[^\s\v\x1c-\x1f\x85\p{Z}\p{L}\p{N}]')), 0) as bigint) as n_tokens from documents")
 def tokens(t):
-    return t.documents.select("doc_id", F.size(X.token_spans("text")).cast("long").alias("n_tokens"))
+    return t.documents.select("doc_id", X.token_count(F.col("text")).cast("long").alias("n_tokens"))
 
 
 @query("F04_question_tokens", "select doc_id, len(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2))) as n from documents")
@@ -44,9 +41,11 @@ def doc_search(t):
     return t.documents.select("doc_id", score.cast("double").alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(50)
 
 
-@query("F07_statement_shape", "select p_partkey, 'select ? from part where size > ? and name = ?' as shape from part")
+@query("F07_statement_shape", "select p_partkey, 'select ? from part where size > ? and brand' || case when p_partkey % 2 = 0 then ' = ?' else ' in (?, ?)' end as shape from part")
 def statement_shape(t):
-    sql = F.concat(F.lit("SELECT 1 /* a note */ FROM part  WHERE size > "), F.col("p_size").cast("string"), F.lit(" AND name = '"), F.col("p_name"), F.lit("' -- end"))
+    size, brand = F.col("p_size").cast("string"), F.concat(F.lit("'"), F.col("p_brand"), F.lit("'"))
+    test = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" = "), brand)).otherwise(F.concat(F.lit(" IN ("), brand, F.lit(", 'other')")))
+    sql = F.concat(F.lit("SELECT 1 /* a note\nof two lines */ FROM part  WHERE size > "), size, F.lit(" AND brand"), test, F.lit(" -- end"))
     return t.part.select("p_partkey", X.statement_shape(sql).alias("shape"))
 
 
@@ -175,8 +174,3 @@ def grounding(t):
 def confidence(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.expr("nullif(l_discount, 0.05D) * 20"), F.lit(0.5)))).alias("confidence"))
 
-
-def plain_html(markup: str) -> str:
-    """html_to_text in plain Python, for tests."""
-    bare = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", "", markup)
-    return html.unescape(re.sub(r"(?s)<[^>]*>", "", re.sub(r"(?i)<br\s*/?>|</(p|div)\s*>", "\n", bare)))
