@@ -79,9 +79,9 @@ def optional_filters(t):
 
 
 # joins
-@query("J05_declared_default", "select n_name, count(*) as line_count from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1")
-def declared_default(t):
-    """Two relationships lead to nation's names here; the declared default is taken unless another is pinned."""
+@query("J04_pinned_of_two", "select n_name, count(*) as line_count from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1")
+def pinned_of_two(t):
+    """A second relationship leads straight to nation here, and would be the shorter; the pinned one is taken."""
     extra = Relationship("a_lines_by_order_parity", "lineitem", "nation", (("l_linenumber", "n_nationkey"),))
     model = SemanticModel(MODEL.datasets, list(MODEL.fields.values()), list(MODEL.metrics.values()), [*MODEL.relationships.values(), extra])
     via = {"nation": "supplier__s_nationkey__nation"}
