@@ -33,6 +33,20 @@ class IndexStore:
             df = df.where(F.col(c).isNull() if v is None else F.col(c) == F.lit(v))
         return df.select(*columns) if columns else df
 
+    def replace_sources(self, table: str, rows: DataFrame) -> None:
+        """Append rows (source, run, ...); files of earlier runs of their sources go once the new ones are written.
+
+        Rows lie by source and run, so nothing else is read or written again.
+        """
+        rows.write.mode("append").partitionBy("source", "run").parquet(f"{self.path}/{table}")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        for r in rows.select("source", "run").distinct().toLocalIterator():
+            folder = hadoop.Path(f"{self.path}/{table}/source={r.source}")
+            fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for old in fs.listStatus(folder):
+                if old.getPath().getName() not in (f"run={r.run}", "_SUCCESS"):
+                    fs.delete(old.getPath(), True)
+
     def delete_run(self, run: str, tables: Sequence[str]) -> None:
         """Drop a run's partitions; others aren't touched."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs
