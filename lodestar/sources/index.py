@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 
 class IndexStore:
     def __init__(self, spark: SparkSession, path: str):
@@ -16,9 +16,8 @@ class IndexStore:
 
     @classmethod
     def temporary(cls, spark: SparkSession) -> IndexStore:
-        """A store in a fresh folder under spark.checkpoint.dir, or a local one where that is unset."""
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
-        return cls(spark, f"{base.rstrip('/')}/index-{uuid.uuid4().hex}")
+        """A store in a fresh folder that the cluster shares."""
+        return cls(spark, shared_dir(spark, "index"))
 
     def append(self, table: str, rows: DataFrame) -> None:
         rows.write.mode("append").partitionBy("run").parquet(f"{self.path}/{table}")
