@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import checks, core, eligibility, knowledge, reading, records, scalars, serving
+from .queries import building, checks, core, eligibility, knowledge, reading, records, scalars, serving
 from .queries.registry import ORACLES, QUERIES
 
-__all__ = ["checks", "core", "eligibility", "knowledge", "reading", "records", "scalars", "serving"]
+__all__ = ["building", "checks", "core", "eligibility", "knowledge", "reading", "records", "scalars", "serving"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

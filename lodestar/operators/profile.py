@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Endings of names that look like keys (fixed values).
+#: Endings of names that look like keys, endings that make one sure of it, words of a column's name that tell nothing of its target.
 KEY_SUFFIXES = ("_sk", "_id", "_key", "key", "id")
+SURE_SUFFIXES = ("_sk", "_id")
+STOP_WORDS = frozenset("sk id key dim bill ship sold returned return refunded returning current first last start end open closed close creation access".split())
+#: Types that are joined with one another (fixed values); others only with themselves.
+FAMILIES = {"tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "integer", "float": "decimal", "double": "decimal"}
 #: Share of a foreign key's distinct values that must be found.
 ACCEPTED = 0.95
 
@@ -35,28 +40,65 @@ def primary_keys(df: DataFrame, table: str) -> DataFrame:
     The sketch rules most columns out, so only likely ones are counted exactly.
     """
     first = column_stats(df, table).where("non_null = n_rows and n_rows > 0 and ndv >= 0.85 * n_rows")
-    likely = [r["column_name"] for r in first.select("column_name").collect() if r["column_name"].endswith(KEY_SUFFIXES)]
+    likely = [r["column_name"] for r in first.select("column_name").collect() if r["column_name"].lower().endswith(KEY_SUFFIXES)]
     if not likely:
         return df.sparkSession.createDataFrame([], "table_name string, column_name string, confidence double")
     exact = column_stats(df.select(*likely), table, exact=True)
-    sure = F.when(F.col("column_name") == likely[0], 0.95).otherwise(0.8)
+    sure = F.when(F.expr(" or ".join(f"endswith(lower(column_name), '{x}')" for x in SURE_SUFFIXES)), 0.95).otherwise(0.8)
     return exact.where("ndv = n_rows").select("table_name", "column_name", sure.alias("confidence"))
 
 
-def stem(column: str) -> str:
-    """A column's name without its table prefix and key ending."""
-    return re.sub(r"(_sk|_id|_?key)$", "", column.split("_", 1)[-1])
+def words(name: str) -> list[str]:
+    """Words of a table's or column's name that say what it is about; a word may end in key (custkey)."""
+    parts = (re.sub(r"(?<=.)key$", "", x) for x in re.findall(r"[a-z0-9]+", name.lower()))
+    return [x for x in parts if x not in STOP_WORDS]
 
 
-def name_score(fk: str, pk: str, pk_table: str) -> float:
-    """How well a column's name fits a key: the same name, the same name after the prefix, the table's name, a part of it."""
-    if fk == pk:
+def stem(column: str) -> list[str]:
+    """A column's words without its table's prefix, unless nothing else is left."""
+    prefix, all_words = column.lower().split("_")[0], words(column)
+    return [x for x in all_words if x != prefix] or all_words
+
+
+def name_score(column: str, table: str, key: str | None = None) -> float:
+    """How well a column's name points at a table (and its key).
+
+    1: its stem is the table's name or the key's stem. 0.9: each word shortens one of the table's to three letters or more, and one is no word
+    of the table. 0.8: a word of four letters or more is the table's first initial and a beginning of its last word. 0.7: they share a word. Else 0.
+    """
+    mine, its = stem(column), words(table)
+    if not (mine and its):
+        return 0.0
+    if "".join(mine) == "".join(its) or (key and stem(key) == mine):
         return 1.0
-    if fk.split("_", 1)[-1] == pk.split("_", 1)[-1]:
+    shortens = [len(x) >= 3 and any(y.startswith(x) for y in its) for x in mine]
+    if all(shortens) and not set(mine) <= set(its):
         return 0.9
-    if stem(fk) and stem(fk) == pk_table.rstrip("s"):
+    if len(its) > 1 and any(len(x) > 3 and x[0] == its[0][0] and its[-1].startswith(x[1:]) for x in mine):
         return 0.8
-    return 0.7 if stem(fk) and pk_table.startswith(stem(fk)) else 0.0
+    return 0.7 if set(mine) & set(its) else 0.0
+
+
+def family(kind: str) -> str:
+    return "decimal" if kind.startswith("decimal") else FAMILIES.get(kind, kind)
+
+
+def candidates(catalogue: Iterable[tuple[str, str, str, int, int, bool]], named: int = 3, most: int = 400) -> list[tuple[str, str, str, str, float, int]]:
+    """(table, column, target, its key, score by name, its rows) from rows (table, column, type, rows, distinct values, is key) of a catalogue.
+
+    A column that looks like a key, is none in its table and doesn't name the table itself goes to the `named` best keys of its type by name, the
+    smaller table first; without a name, to every key of its type in a table of at least as many rows as it has values. At most `most` pairs in all.
+    """
+    columns = list(catalogue)
+    keys = [(t, c, family(kind), n) for t, c, kind, n, _, is_key in columns if is_key]
+    out = []
+    for table, column, kind, _, values, is_key in columns:
+        if is_key or not values or not column.lower().endswith(KEY_SUFFIXES) or words(table) in (stem(column), words(column)):
+            continue
+        fits = [(name_score(column, t, k), t, k, n) for t, k, f, n in keys if t != table and f == family(kind)]
+        by_name = sorted((x for x in fits if x[0] > 0), key=lambda x: (-x[0], x[3]))[:named]
+        out += [(table, column, t, k, score, n) for score, t, k, n in by_name or [x for x in fits if values <= x[3]]]
+    return out[:most]
 
 
 def overlap(fk: DataFrame, fk_column: str, pk: DataFrame, pk_column: str) -> DataFrame:
@@ -66,26 +108,33 @@ def overlap(fk: DataFrame, fk_column: str, pk: DataFrame, pk_column: str) -> Dat
     return left.join(right, "k", "left").agg(F.count("*").alias("n_distinct"), F.count_if(F.col("hit").isNull()).alias("n_unmatched"))
 
 
+def catalogue_of(tables: Mapping[str, DataFrame], declared: Mapping[str, str] | None = None, exact: bool = False) -> list[tuple[str, str, str, int, int, bool]]:
+    """(table, column, type, rows, distinct values, is key) of each column: one row a column, whatever the tables hold.
+
+    declared: the key of each table that has one, else keys are looked for. exact: see column_stats.
+    """
+    out = []
+    for t, df in tables.items():
+        keys = {r["column_name"] for r in primary_keys(df, t).collect()} if declared is None else {declared.get(t)}
+        kinds = dict(df.dtypes)
+        out += [(t, r["column_name"], kinds[r["column_name"]], r["n_rows"], r["ndv"], r["column_name"] in keys) for r in column_stats(df, t, exact).collect()]
+    return out
+
+
 def foreign_keys(tables: Mapping[str, DataFrame], named: int = 3) -> DataFrame:
-    """fk_table, fk_column, pk_table, pk_column, score, match_ratio: the best target of each column.
+    """fk_table, fk_column, pk_table, pk_column, score, match_ratio: the best target of each column, by found share, then name, then the smaller table.
 
-    Candidates come from names, at most `named` a column; each is measured on distinct keys.
+    Each candidate is measured on distinct keys. A score of 0 is found in the data alone: a suggestion, no relationship yet.
     """
     spark = next(iter(tables.values())).sparkSession
-    keys = [(t, r["column_name"]) for t, df in tables.items() for r in primary_keys(df, t).collect()]
-    parts = None
-    for table, df in tables.items():
-        for column, kind in df.dtypes:
-            if kind not in ("int", "bigint", "string"):
-                continue
-            scored = sorted(((name_score(column, k, t), t, k) for t, k in keys if t != table), key=lambda x: (-x[0], x[1]))
-            for score, t, k in [x for x in scored if x[0] > 0][:named]:
-                one = overlap(df, column, tables[t], k).select(
-                    F.lit(table).alias("fk_table"), F.lit(column).alias("fk_column"), F.lit(t).alias("pk_table"), F.lit(k).alias("pk_column"), F.lit(score).alias("score"),
-                    F.round(1 - F.try_divide("n_unmatched", "n_distinct"), 4).alias("match_ratio"),
-                )
-                parts = one if parts is None else parts.unionByName(one)
-    if parts is None:
+    parts = [
+        overlap(tables[table], column, tables[t], k).select(
+            F.lit(table).alias("fk_table"), F.lit(column).alias("fk_column"), F.lit(t).alias("pk_table"), F.lit(k).alias("pk_column"), F.lit(score).alias("score"), F.lit(n).alias("pk_rows"),
+            F.round(1 - F.try_divide("n_unmatched", "n_distinct"), 4).alias("match_ratio"),
+        )
+        for table, column, t, k, score, n in candidates(catalogue_of(tables), named)
+    ]
+    if not parts:
         return spark.createDataFrame([], "fk_table string, fk_column string, pk_table string, pk_column string, score double, match_ratio double")
-    rank = F.row_number().over(Window.partitionBy("fk_table", "fk_column").orderBy(F.desc("match_ratio"), F.desc("score"), "pk_table"))
-    return parts.withColumn("rank", rank).where(f"rank = 1 and match_ratio >= {ACCEPTED}").drop("rank")
+    rank = F.row_number().over(Window.partitionBy("fk_table", "fk_column").orderBy(F.desc("match_ratio"), F.desc("score"), "pk_rows", "pk_table"))
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", rank).where(f"rank = 1 and match_ratio >= {ACCEPTED}").drop("rank", "pk_rows")

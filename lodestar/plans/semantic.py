@@ -45,6 +45,7 @@ class Relationship:
     many: str
     one: str
     on: tuple[tuple[str, str], ...]
+    default: bool = False  # the one to take of several between its two datasets
 
 
 @dataclass(frozen=True)
@@ -151,12 +152,12 @@ class SemanticModel:
         return out + [f"metric {m.name}: no dataset {m.dataset}" for m in self.metrics.values() if m.dataset not in self.datasets]
 
     def default_relationship(self, a: str, b: str) -> Relationship | None:
-        """The first by name of those between two datasets."""
-        between = sorted((r for r in self.relationships.values() if {r.many, r.one} == {a, b}), key=lambda r: r.name)
-        return between[0] if between else None
+        """The declared default of those between two datasets, else the first by name."""
+        between = [r for r in self.relationships.values() if {r.many, r.one} == {a, b}]
+        return min(between, key=lambda r: (not r.default, r.name), default=None)
 
     def join_path(self, start: str, target: str, via: Mapping[str, str] | None = None) -> list[tuple[Relationship, str]]:
-        """(relationship, dataset it leads to) along a shortest chain. A pinned dataset is reached by its relationship alone."""
+        """(relationship, dataset it leads to) along a shortest chain. A pinned dataset is reached by its relationship alone, another one not beside a declared default."""
         via = via or {}
         before: dict[str, tuple[str, Relationship] | None] = {start: None}
         todo = deque([start])
@@ -168,6 +169,9 @@ class SemanticModel:
                 there = r.one if here == r.many else r.many
                 if there in before or (there in via and via[there] != r.name):
                     continue
+                chosen = self.default_relationship(here, there)
+                if there not in via and chosen.default and not r.default:
+                    continue
                 before[there] = (here, r)
                 todo.append(there)
         if target not in before:
