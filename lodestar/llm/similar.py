@@ -8,8 +8,8 @@ sets, so links are exact. Of each distinct shingle set one is searched.
 
 A bucket of up to `SMALL` sets is compared pair by pair. In a larger one every set is compared with a lead, what isn't
 like it with a second lead, and so on for `LEADS` rounds. Up to `SMALL` sets that this leaves outside the bucket's
-largest component are compared with the whole bucket. So work grows with the number of sets, not of pairs. A pair that
-shares only large buckets of mostly unlike sets, and in none of them a lead, can be missed (README).
+largest component are compared with the whole bucket. The sets of buckets with more outside, mostly unlike ones, meet
+by their rarest shingles: two of a similarity of 0.8 share one among the rarest fifth of each, so no pair is missed.
 
 Shorter texts are one shingle of all their words. Nulls: a null text has no words; texts without words are linked.
 Repeated rows are one document. Empty table: empty result.
@@ -32,6 +32,8 @@ BANDS, ROWS = 24, 4
 #: Sets of a size within a factor of this share a class; a set is in two.
 CLASS = 1.25
 SMALL, LEADS = 8, 3
+#: Sets with a shingle that one task compares with the others that have it, about.
+DEALT = 2000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -147,9 +149,33 @@ def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     whole = stored(parted.drop("n").join(few, ["band", "key"]), "whole")
     outside = whole.where("root <> main").select("band", "key", F.col("name").alias("x"), F.col("root").alias("r"))
     rest = ordered(outside.join(whole, ["band", "key"]).where("root <> r"), "x", "name").distinct()
+    unlike = most.where(f"n - m.c > {SMALL}").select("band", "key")
+    crowd = stored(parted.join(unlike, ["band", "key"], "left_semi").select("name", "root").distinct(), "crowd")
+    if not crowd.isEmpty():
+        rest = rest.union(sharing_rare(crowd, shingles))
     return found.union(similar(stored(rest, "rest"), shingles))
 
 
+def sharing_rare(crowd: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(a, b), a < b, of all pairs of the crowd (name, root) in different roots that can be of a similarity of 0.8 or more.
+
+    A set's shingles are ordered by how many sets have them. Of n shingles a similar set has 0.8 n or more, so the first
+    that both have is among the n - 0.8 n + 1 first of each, and enough shingles follow it in both. A shingle of many sets
+    is dealt over several tasks.
+    """
+    each = crowd.join(shingles, "name").where("size(values) > 0").select("name", "root", F.explode("values").alias("value"))
+    often = each.groupBy("value").agg(F.count("*").alias("c"))
+    sorted_ = each.join(often, "value").groupBy("name", "root").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("all"))
+    n = F.size("all")
+    first = F.slice("all", F.lit(1), n - F.expr("(4 * size(all) + 4) div 5").cast("int") + 1)
+    rare = stored(sorted_.select("name", "root", n.alias("n"), F.posexplode(first).alias("at", "s")).select("name", "root", "n", "at", "s.value", "s.c").where("c > 1"), "rare")
+    parts = F.expr(f"1 + c div {DEALT}")
+    one = rare.select(F.col("name").alias("a"), F.col("root").alias("r"), F.col("n").alias("m"), F.col("at").alias("i"), "value", F.pmod(F.xxhash64("name"), parts).alias("part"))
+    other = rare.select(F.col("name").alias("b"), "root", "n", "at", "value", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    pairs = one.join(other, ["value", "part"]).where("a < b and r <> root and 9 * least(m - i, n - at) >= 4 * (m + n)")
+    return pairs.select("a", "b").distinct()
+
+
 def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 

@@ -59,6 +59,25 @@ def test_near_copies_go(spark):
     assert plain.as_rows(near_duplicates(spark, docs, ""), "doc_id", "text") == sorted(want, key=plain.key)
 
 
+def test_pairs_among_many_unlike_sets_are_found(spark):
+    """All share most shingles at some 0.76; twins, at 0.81, share hardly a bucket with few others."""
+    common = " ".join(f"c{i}" for i in range(104))
+    rows = [(2 * k + i, f"{common} " + " ".join([f"t{k}x{j}" for j in range(4)] + [f"o{k}x{i}x{j}" for j in range(12)])) for k in range(60) for i in (0, 1)]
+    assert [r[0] for r in kept(rows)] == list(range(0, 120, 2))
+    got = similar.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(0, 120, 2))
+
+
+def test_rare_shingles_lose_no_similar_pair(spark):
+    rng = random.Random(8)
+    groups = [rng.sample(range(4000), 120) for _ in range(12)]
+    sets = [sorted({*rng.sample(g, rng.randrange(90, 121)), *rng.sample(range(4000, 9000), rng.randrange(12))}) for g in groups for _ in range(12)] + [[1], [1], [2], [2, 3]]
+    names = spark.createDataFrame([(k, k) for k in range(len(sets))], "name long, root long")
+    found = {tuple(r) for r in similar.sharing_rare(names, spark.createDataFrame(list(enumerate(sets)), "name long, values array<long>")).collect()}
+    want = {(a, b) for b, y in enumerate(sets) for a, x in enumerate(sets[:b]) if 9 * len({*x} & {*y}) >= 4 * (len(x) + len(y))}
+    assert len(want) > 100 and want <= found
+
+
 def test_shared_docs(docs, none):
     rows = plain.as_rows(docs, "doc_id", "text")
     assert similar.one_of_each(docs).count() == len(kept(rows))
