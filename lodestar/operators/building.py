@@ -103,20 +103,26 @@ def truth_edges(refs: DataFrame, relations: DataFrame) -> DataFrame:
 
     A scenario has few rows of a kind; relations are a short list that the story declares.
     """
-    entity = F.sha2(F.to_json(F.array("kind", "key")), 256)
-    end = lambda name: refs.select("scenario", F.col("kind").alias(f"{name}_kind"), entity.alias(name)).distinct()
-    return end("source").join(relations, "source_kind").join(end("target"), ["scenario", "target_kind"]).groupBy("source", "predicate", "target").agg(F.min("scenario").alias("scenario"))
+    rows = refs.select("scenario", "kind", "key")
+    end = lambda name: rows.join(F.broadcast(relations.select(F.col(f"{name}_kind").alias("kind")).distinct()), "kind", "left_semi").distinct().select("scenario", F.col("kind").alias(f"{name}_kind"), F.col("key").alias(f"{name}_key"))
+    pairs = end("source").join(F.broadcast(relations), "source_kind").join(end("target"), ["scenario", "target_kind"])
+    # names are hashed last: only kinds and keys are shuffled
+    first = pairs.groupBy("source_kind", "source_key", "predicate", "target_kind", "target_key").agg(F.min("scenario").alias("scenario"))
+    entity = lambda name: F.sha2(F.to_json(F.array(f"{name}_kind", f"{name}_key")), 256).alias(name)
+    return first.select(entity("source"), "predicate", entity("target"), "scenario")
 
 
 def truth_claims(edges: DataFrame, evidence: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(claims: claim, scenario, type, subject, object; evidence: claim, artifact) of evidence (scenario, artifact, type).
 
-    kinds (type, predicate) tells which edge a claim type states; evidence of a scenario without that edge claims nothing.
+    kinds (type, predicate) tells which edge a claim type states; evidence of a scenario without that edge claims nothing. Edges are each there once, as
+    truth_edges gives them. So nothing needs to be made distinct after the join, and both results join the same two tables.
     """
-    stated = evidence.join(kinds, "type").join(edges.select("scenario", "predicate", F.col("source").alias("subject"), F.col("target").alias("object")), ["scenario", "predicate"])
+    stated = edges.select("scenario", "predicate", F.col("source").alias("subject"), F.col("target").alias("object")).join(F.broadcast(kinds.select("type", "predicate").distinct()), "predicate")
     claim = F.sha2(F.to_json(F.array(F.col("scenario").cast("string"), "type", "subject", "object")), 256).alias("claim")
-    rows = stated.select(claim, "scenario", "type", "subject", "object", "artifact")
-    return rows.drop("artifact").distinct(), rows.select("claim", "artifact").distinct()
+    given = evidence.select("scenario", "type", "artifact").distinct()
+    rows = stated.join(given, ["scenario", "type"]).select(claim, "artifact")
+    return stated.join(given, ["scenario", "type"], "left_semi").select(claim, "scenario", "type", "subject", "object"), rows
 
 
 def loaded(tables: Mapping[str, DataFrame], nodes: Mapping[str, str], edges: Sequence[tuple[str, str, str, str]]) -> DataFrame:
