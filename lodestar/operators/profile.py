@@ -83,6 +83,16 @@ def family(kind: str) -> str:
     return "decimal" if kind.startswith("decimal") else FAMILIES.get(kind, kind)
 
 
+def refers(table: str, column: str) -> bool:
+    """Whether a column looks like a key and doesn't name its own table."""
+    return column.lower().endswith(KEY_SUFFIXES) and words(table) not in (stem(column), words(column))
+
+
+def targets(table: str, column: str, kind: str, keys: Iterable[tuple[str, str, str, int]]) -> list[tuple[float, str, str, int]]:
+    """(score by name, table, key, its rows) of the keys (table, key, family, rows) of other tables that have the column's type."""
+    return [(name_score(column, t, k), t, k, n) for t, k, f, n in keys if t != table and f == family(kind)]
+
+
 def candidates(catalogue: Iterable[tuple[str, str, str, int, int, bool]], named: int = 3, most: int = 400) -> list[tuple[str, str, str, str, float, int]]:
     """(table, column, target, its key, score by name, its rows) from rows (table, column, type, rows, distinct values, is key) of a catalogue.
 
@@ -93,9 +103,9 @@ def candidates(catalogue: Iterable[tuple[str, str, str, int, int, bool]], named:
     keys = [(t, c, family(kind), n) for t, c, kind, n, _, is_key in columns if is_key]
     out = []
     for table, column, kind, _, values, is_key in columns:
-        if is_key or not values or not column.lower().endswith(KEY_SUFFIXES) or words(table) in (stem(column), words(column)):
+        if is_key or not values or not refers(table, column):
             continue
-        fits = [(name_score(column, t, k), t, k, n) for t, k, f, n in keys if t != table and f == family(kind)]
+        fits = targets(table, column, kind, keys)
         by_name = sorted((x for x in fits if x[0] > 0), key=lambda x: (-x[0], x[3]))[:named]
         out += [(table, column, t, k, score, n) for score, t, k, n in by_name or [x for x in fits if values <= x[3]]]
     return out[:most]
@@ -111,14 +121,19 @@ def overlap(fk: DataFrame, fk_column: str, pk: DataFrame, pk_column: str) -> Dat
 def catalogue_of(tables: Mapping[str, DataFrame], declared: Mapping[str, str] | None = None, exact: bool = False) -> list[tuple[str, str, str, int, int, bool]]:
     """(table, column, type, rows, distinct values, is key) of each column: one row a column, whatever the tables hold.
 
-    declared: the key of each table that has one, else keys are looked for. exact: see column_stats.
+    declared: the key of each table that has one, else keys are looked for. exact: values are counted exactly, each column by itself, where
+    `candidates` holds their number against rows, which is where no key fits by name; elsewhere, and without it, by a sketch.
     """
     out = []
     for t, df in tables.items():
         keys = {r["column_name"] for r in primary_keys(df, t).collect()} if declared is None else {declared.get(t)}
         kinds = dict(df.dtypes)
-        out += [(t, r["column_name"], kinds[r["column_name"]], r["n_rows"], r["ndv"], r["column_name"] in keys) for r in column_stats(df, t, exact).collect()]
-    return out
+        out += [(t, r["column_name"], kinds[r["column_name"]], r["n_rows"], r["ndv"], r["column_name"] in keys) for r in column_stats(df, t).collect()]
+    if not exact:
+        return out
+    keys = [(t, c, family(kind), n) for t, c, kind, n, _, is_key in out if is_key]
+    by_size = lambda t, c, kind, is_key: not is_key and refers(t, c) and not any(x[0] > 0 for x in targets(t, c, kind, keys))
+    return [(t, c, kind, n, column_stats(tables[t].select(f"`{c}`"), t, exact=True).first()["ndv"] if by_size(t, c, kind, is_key) else values, is_key) for t, c, kind, n, values, is_key in out]
 
 
 def foreign_keys(tables: Mapping[str, DataFrame], named: int = 3) -> DataFrame:

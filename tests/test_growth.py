@@ -19,3 +19,12 @@ def test_truth_edges_shuffle_no_hashes(spark):
     claims, rows = B.truth_claims(edges, evidence, spark.createDataFrame([("t", "AB"), ("t", "AB"), ("u", "AC")], "type string, predicate string"))
     assert [(r.scenario, r.type) for r in claims.collect()] == [(1, "t")]
     assert sorted(r.artifact for r in rows.collect()) == ["p", "q"] and {r.claim for r in rows.collect()} == {r.claim for r in claims.collect()}
+
+
+def test_values_are_counted_exactly_only_where_it_matters(spark, monkeypatch):
+    tables = {"thing": spark.range(300).selectExpr("id thing_key", "'x' label"), "visit": spark.range(900).selectExpr("id visit_key", "id % 300 thing_key", "id % 250 user_id", "id note")}
+    counted, stats = [], profile.column_stats
+    monkeypatch.setattr(profile, "column_stats", lambda df, table, exact=False: (counted.append((table, df.columns)) if exact else None) or stats(df, table, exact))
+    found = profile.candidates(profile.catalogue_of(tables, {"thing": "thing_key", "visit": "visit_key"}, exact=True))
+    assert found == [("visit", "thing_key", "thing", "thing_key", 1.0, 300), ("visit", "user_id", "thing", "thing_key", 0.0, 300)]
+    assert counted == [("visit", ["user_id"])]
