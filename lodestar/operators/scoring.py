@@ -8,6 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a part that `dealt` makes, about.
+PART_ROWS = 250_000
+
+
+def dealt(rows: DataFrame, *by: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """rows shuffled once by the columns of a grouping, in parts that don't grow with the table, so that neither do the tables of groups in a task's memory."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(usual, rows.count() // part_rows + 1), *by)
+
+
 def rate(a, b):
     """a / b to four places; null over zero."""
     return F.round(F.try_divide(a, b), 4)

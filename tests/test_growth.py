@@ -28,3 +28,11 @@ def test_values_are_counted_exactly_only_where_it_matters(spark, monkeypatch):
     found = profile.candidates(profile.catalogue_of(tables, {"thing": "thing_key", "visit": "visit_key"}, exact=True))
     assert found == [("visit", "thing_key", "thing", "thing_key", 1.0, 300), ("visit", "user_id", "thing", "thing_key", 0.0, 300)]
     assert counted == [("visit", ["user_id"])]
+
+
+def test_parts_grow_with_the_table(spark):
+    rows = spark.range(1000).selectExpr("id % 90 k", "id v")
+    parts = S.dealt(rows, "k", part_rows=50)
+    assert parts.rdd.getNumPartitions() == 21 and S.dealt(rows.where("v < 0"), "k", part_rows=50).rdd.getNumPartitions() == 8
+    grouped = parts.groupBy("k").agg({"v": "max"})
+    assert grouped._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1 and grouped.count() == 90
