@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
-from .graph import merged_edges
 
 #: What reads a declared type, and the size and stride of a window of chat messages.
 ANALYZERS = {"application/pdf": "pdf", "message/rfc822": "email", "application/json": "chat", "text/plain": "text", "text/markdown": "text"}
@@ -130,12 +129,14 @@ def loaded(tables: Mapping[str, DataFrame], nodes: Mapping[str, str], edges: Seq
 
     Keys are told apart by their values (a:1, m:1): an edge is merged once and only where both ends were loaded; a null end is no edge.
     """
-    ids = reduce(DataFrame.unionByName, [tables[t].select(F.col(key).alias("id")) for t, key in nodes.items()])
-    out = []
-    for name, table, start, end in edges:
-        whole = tables[table].select(F.col(start).alias("src"), F.col(end).alias("dst")).where("src is not null and dst is not null")
-        out.append(merged_edges(whole, ids)[1].select(F.lit(name).alias("edge"), "merged", "skipped"))
-    return reduce(DataFrame.unionByName, out)
+    ids = reduce(DataFrame.unionByName, [tables[t].select(F.col(key).alias("id")) for t, key in nodes.items()]).distinct()
+    ends = [tables[table].select(F.lit(name).alias("edge"), F.col(start).alias("src"), F.col(end).alias("dst")) for name, table, start, end in edges]
+    # all edges meet the nodes together, so that these are read and shuffled once for each end
+    whole = reduce(DataFrame.unionByName, ends).where("src is not null and dst is not null").distinct()
+    found = whole.join(ids.select(F.col("id").alias("src"), F.lit(True).alias("starts")), "src", "left").join(ids.select(F.col("id").alias("dst"), F.lit(True).alias("stops")), "dst", "left")
+    counts = found.groupBy("edge").agg(F.count("*").alias("n"), F.count_if(F.col("starts") & F.col("stops")).alias("merged"))
+    names = tables[edges[0][1]].sparkSession.createDataFrame([(e[0],) for e in edges], "edge string").distinct()
+    return names.join(counts, "edge", "left").select("edge", F.coalesce("merged", F.lit(0)).alias("merged"), F.coalesce(F.col("n") - F.col("merged"), F.lit(0)).alias("skipped"))
 
 
 def content_hash(rows: DataFrame) -> DataFrame:

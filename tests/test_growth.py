@@ -21,6 +21,14 @@ def test_truth_edges_shuffle_no_hashes(spark):
     assert sorted(r.artifact for r in rows.collect()) == ["p", "q"] and {r.claim for r in rows.collect()} == {r.claim for r in claims.collect()}
 
 
+def test_typed_loads_meet_the_nodes_once_an_end(spark):
+    nodes = {x: spark.createDataFrame([(f"{x}{i}",) for i in (1, 1, 2)], "id string") for x in "ab"}
+    links = spark.createDataFrame([("a1", "b1"), ("a1", "b1"), ("a1", "b3"), ("a3", "b1"), (None, "b1"), ("a2", None), ("a2", "b2")], "x string, y string")
+    got = B.loaded(nodes | {"links": links, "none": links.where("x is null")}, {"a": "id", "b": "id"}, [("L", "links", "x", "y"), ("R", "links", "y", "x"), ("N", "none", "x", "y"), ("S", "a", "id", "id")])
+    assert sorted(map(tuple, got.collect())) == [("L", 2, 2), ("N", 0, 0), ("R", 2, 2), ("S", 2, 0)]
+    assert plan(got).count("Join ") == 3
+
+
 def test_values_are_counted_exactly_only_where_it_matters(spark, monkeypatch):
     tables = {"thing": spark.range(300).selectExpr("id thing_key", "'x' label"), "visit": spark.range(900).selectExpr("id visit_key", "id % 300 thing_key", "id % 250 user_id", "id note")}
     counted, stats = [], profile.column_stats
