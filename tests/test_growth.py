@@ -38,6 +38,13 @@ def test_values_are_counted_exactly_only_where_it_matters(spark, monkeypatch):
     assert counted == [("visit", ["user_id"])]
 
 
+def test_runs_have_as_many_tokens_as_keys(spark):
+    words = M.dictionary(spark.createDataFrame([("c", "red hot lamp", 1), ("c", "red", 2)], "class string, surface string, instance long"))
+    texts = spark.createDataFrame([(1, "A Red hot lamp, red.")], "id long, text string")
+    assert sorted(tuple(r) for r in M.grams(texts, words).collect()) == [(1, 2, 5, "red"), (1, 2, 14, "red hot lamp"), (1, 16, 19, "red")]
+    assert [r.surface for r in M.scanned(texts, words).orderBy("start_at").collect()] == ["red hot lamp", "red"]
+
+
 def test_parts_grow_with_the_table(spark):
     rows = spark.range(1000).selectExpr("id % 90 k", "id v")
     parts = S.dealt(rows, "k", part_rows=50)
