@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame
 
 from .common import Memo, map_slices, pieces
 
-#: Entries of each generation of the memo of pieces, and of that of pre-tokens in pieces too long to keep: a worker
+#: Entries of each generation of the memo of pieces, and of that of pre-tokens, which pieces share: a worker
 #: keeps two generations of each while it lives, whatever it runs next.
 KNOWN = 360_000
-KNOWN_TOKENS = 40_000
+KNOWN_TOKENS = 120_000
+#: Each bit of a word.
+BIT = [1 << k for k in range(256)]
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -34,19 +37,24 @@ def encode_token(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     The queue: buckets[rank] holds positions (one, or a heap of them), words[rank >> 8] has a bit for each
     non-empty bucket and top a bit for each non-zero word; x & -x finds the first set bit.
     """
-    if data in ranks:
-        return [ranks[data]]
-    n, rank_of = len(data), ranks.get
+    rank_of = ranks.get
+    r = rank_of(data)
+    if r is not None:
+        return [r]
+    n = len(data)
     end = list(range(1, n + 1))  # where the symbol that starts at i ends; 0: no longer a start
     before = list(range(-1, n - 1))
     pair = [rank_of(data[i : i + 2]) for i in range(n - 1)]
     pair.append(None)
+    live = len(pair) - pair.count(None)  # pairs that can be merged: without one all that is still filed is stale
     buckets: dict[int, int | list[int]] = {}
     words: dict[int, int] = {}
     top = 0
-    todo = [(r, i) for i, r in enumerate(pair) if r is not None]
-    while True:
-        for r, i in todo:  # file what is new
+    todo = enumerate(pair)
+    while live:
+        for i, r in todo:  # file what is new
+            if r is None:
+                continue
             if r in buckets:
                 bucket = buckets[r]
                 if bucket.__class__ is list:
@@ -57,13 +65,11 @@ def encode_token(data: bytes, ranks: dict[bytes, int]) -> list[int]:
                 buckets[r] = i
                 word = r >> 8
                 if word in words:
-                    words[word] |= 1 << (r & 255)
+                    words[word] |= BIT[r & 255]
                 else:
-                    words[word] = 1 << (r & 255)
-                    top |= 1 << word
-        todo = []
-        if not top:
-            break
+                    words[word] = BIT[r & 255]
+                    top |= BIT[word] if word < 256 else 1 << word
+        todo = ()
         low = top & -top
         word = low.bit_length() - 1
         bits = words[word]
@@ -81,22 +87,31 @@ def encode_token(data: bytes, ranks: dict[bytes, int]) -> list[int]:
                 top ^= low
             else:
                 words[word] = bits ^ first
-        j = end[i]
-        if not j or pair[i] != r:
+        if pair[i] != r:
             continue  # stale
+        j = end[i]
         end[i] = k = end[j]
         end[j] = 0
-        pair[j] = pair[i] = None
+        live -= 1
+        if pair[j] is not None:
+            live -= 1
+            pair[j] = None
+        h = before[i]
         if k < n:
             before[k] = i
             pair[i] = r = rank_of(data[i : end[k]])
             if r is not None:
-                todo.append((r, i))
-        h = before[i]
+                live += 1
+                todo = ((i, r),)
+        else:
+            pair[i] = None
         if h >= 0:
+            if pair[h] is not None:
+                live -= 1
             pair[h] = r = rank_of(data[h:k])
             if r is not None:
-                todo.append((r, h))
+                live += 1
+                todo += ((h, r),)
     return [ranks[data[i:e]] for i, e in enumerate(end) if e]
 
 
@@ -113,10 +128,11 @@ class Codec:
 
     def _piece(self, text: str) -> bytes:
         found = self.pattern.findall(text)
-        return b"".join(map(self.token_memo.__getitem__ if len(text) > 64 else self._token, found))
+        return self.token_memo[found[0]] if len(found) == 1 else b"".join(map(self.token_memo.__getitem__, found))
 
     def _token(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in encode_token(text.encode(), self.ranks))
+        ids = encode_token(text.encode(), self.ranks)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
