@@ -15,6 +15,7 @@ rows each have their ids. Empty table: no shards, empty result.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -97,6 +98,7 @@ class Tokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks fill the cores
         self.library = Tokenizer.from_file(path)
         size = self.library.get_vocab_size()
         #: Bytes of each id's text: a byte-level vocabulary writes each byte as one character.
@@ -114,24 +116,22 @@ class Tokens:
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint16) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learned(self, new: list[str]) -> list[np.ndarray]:
-        """Ids of each piece; one that begins with white space and ends without is encoded alike wherever it stands."""
-        joinable = [p[0] in " \n" and p[-1] not in " \n" for p in new]
-        together, alone = [p for p, j in zip(new, joinable) if j], [p for p, j in zip(new, joinable) if not j]
-        groups, size = [[]], 0
-        for p in together:
-            if size > 1 << 16:
-                groups.append([])
-                size = 0
-            groups[-1].append(p)
-            size += len(p)
-        found = []
-        for group, ids in zip(groups, self._library(["".join(g) for g in groups])):
-            ends = np.cumsum(self.width[ids])
-            cut = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in group]), "left") + 1
-            found += np.split(ids, cut[:-1]) if group else []
-        rest, found = iter(self._library(alone) if alone else ()), iter(found)
-        return [next(found) if j else next(rest) for j in joinable]
+    def _learned(self, new: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each piece's begin, how many) of pieces of `size` bytes; one that begins with white space and ends without is encoded alike wherever it stands."""
+        joinable = np.array([p[0] in " \n" and p[-1] not in " \n" for p in new], bool)
+        together, alone = np.flatnonzero(joinable), np.flatnonzero(~joinable)
+        group = (np.cumsum(size[together]) - size[together]) >> 16
+        groups = np.split(together, np.flatnonzero(np.diff(group)) + 1) if len(together) else []
+        found, n = [], []
+        for pieces, ids in zip(groups, self._library(["".join([new[i] for i in g.tolist()]) for g in groups])):
+            cut = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size[pieces]), "left") + 1
+            n.append(np.diff(cut[:-1], prepend=0, append=len(ids)))
+            found.append(ids)
+        rest = self._library([new[i] for i in alone.tolist()]) if len(alone) else []
+        n = np.concatenate((*n, np.array([len(x) for x in rest], np.int64)))
+        to = np.empty((2, len(new)), np.int64)
+        to[:, np.concatenate((together, alone))] = np.cumsum(n) - n, n
+        return np.concatenate((*found, *rest)), to[0], to[1]
 
     def _trim(self) -> None:
         """Forget what wasn't used since the last time, and all if that isn't enough."""
@@ -165,10 +165,10 @@ class Tokens:
             hashes, first = np.unique(key[fresh], return_index=True)
             first = fresh[first]
             text = body.tobytes()
-            ids = self._learned([text[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())])
-            n, m = np.array([len(x) for x in ids]), size[first]
-            where = np.column_stack((len(self.ids) + np.cumsum(n) - n, n, len(self.raw) + np.cumsum(m) - m, m))
-            self.ids = np.concatenate((self.ids, *ids))
+            m = size[first]
+            ids, begin, n = self._learned([text[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())], m)
+            where = np.column_stack((len(self.ids) + begin, n, len(self.raw) + np.cumsum(m) - m, m))
+            self.ids = np.concatenate((self.ids, ids))
             self.raw = np.concatenate((self.raw, body[np.repeat(starts[first] - (np.cumsum(m) - m), m) + np.arange(m.sum())]))
             to = np.searchsorted(self.hash, hashes)
             self.hash, self.where = np.insert(self.hash, to, hashes), np.insert(self.where, to, where, axis=0)
@@ -180,13 +180,14 @@ class Tokens:
         begin, n = self.where[found, 0], self.where[found, 1]
         self.used[found[short]] = True
         # the bytes of what was looked up are those of the piece
-        told = self.where[found, 3] == size
-        same = np.repeat(short & told, size)
-        here = np.repeat(self.where[found, 2] - starts, size) + np.arange(len(body))
+        ok = short & (self.where[found, 3] == size)
         bad = np.zeros(len(key), bool)
-        differs = np.flatnonzero(same)[self.raw[here[same]] != body[same]]
-        bad[np.searchsorted(starts, differs, "right") - 1] = True
-        alone = np.flatnonzero(~short | ~told | bad)
+        if len(self.raw):
+            here = np.repeat((np.where(ok, self.where[found, 2], 0) - starts).astype(np.int32), size)
+            here += np.arange(len(body), dtype=np.int32)
+            differs = np.flatnonzero(self.raw.take(here, mode="clip") != body)
+            bad[np.searchsorted(starts, differs, "right") - 1] = True
+        alone = np.flatnonzero(~ok | bad)
         pool = self.ids
         if len(alone):
             text = body.tobytes()
@@ -270,9 +271,9 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first_rule: int) -> tuple[np.
     return symbols.astype(np.uint16), np.concatenate(rules).astype(np.uint16) if rules else np.zeros((0, 2), np.uint16), of_doc
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
+def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int, sizes: np.ndarray | None = None) -> np.ndarray:
     """The ids that symbols stand for: every rule's expansion is laid out once, then gathered."""
-    sizes = expansion_lengths(rules, first_rule)
+    sizes = expansion_lengths(rules, first_rule) if sizes is None else sizes.astype(np.int64)
     flat = np.empty(int(sizes.sum()), np.int32)
     begin = np.cumsum(sizes) - sizes
     bounds = list(zip(begin.tolist(), (begin + sizes).tolist()))
@@ -332,7 +333,7 @@ class Shard:
         self.rules = flat.reshape(-1, 2).astype(np.int64)
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.first_rule)
+        return expand(self.symbols, self.rules, self.first_rule, self.sizes)
 
     def ids_between(self, lo: int, hi: int) -> np.ndarray:
         """Ids at positions lo..hi-1 of the shard; only symbols that reach into the range are expanded."""
