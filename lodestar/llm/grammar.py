@@ -157,7 +157,9 @@ class Tokens:
         size = ends - starts
         key = span_hash(prefix_hash(body), starts, ends)
         short = (size <= 64) & ~whole
-        found = np.searchsorted(self.hash, key)
+        order = np.argsort(key)  # ascending keys are looked up in order
+        found = np.empty(len(key), np.int64)
+        found[order] = np.searchsorted(self.hash, key[order])
         np.minimum(found, max(0, len(self.hash) - 1), out=found)
         hit = short & (self.hash[found] == key) if len(self.hash) else np.zeros(len(key), bool)
         fresh = np.flatnonzero(short & ~hit)
